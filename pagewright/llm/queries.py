@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, packing, tokenfiles
+from pagewright.llm import bpe, langid, packing, tokenfiles, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,9 +26,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train_language_model(docs))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_toxicity(docs, toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(tokenfiles.write_token_files(table(spark, sf_dir, "documents"), vocabulary())).drop("shard", "index")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_packing, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op8_token_files)}
 ORACLE_SQL: dict[str, str] = {}
