@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, langid, packing, tokenfiles, toxicity
+from pagewright.llm import ann, bpe, langid, packing, tokenfiles, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -36,9 +37,35 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_toxicity(docs, toxicity.train_toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_histories(table(spark, sf_dir, "pages")).select(*kept)
+
+
+def op6_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(tokenfiles.write_token_files(table(spark, sf_dir, "documents"), vocabulary())).drop("shard", "index")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op8_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op8_token_files)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+             d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM f""",
+    "op6_block_ann": """
+        WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS dim FROM embeddings WHERE embedding IS NOT NULL),
+             g AS (SELECT vec_id FROM c GROUP BY vec_id, dim HAVING count(x) = dim AND bool_and(isfinite(x)) AND max(abs(x)) > 0),
+             e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings JOIN g USING (vec_id)),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+                   FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+             r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
