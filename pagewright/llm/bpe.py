@@ -198,7 +198,7 @@ class SpeculativeBpe:
             for p in parts:
                 if not isinstance(p, int):
                     new.update(p)
-        if new := list(new - self.known.keys()):
+        if new := [w for w in new if w not in self.known]:
             self.learn(new)
         out, look = [], self.known.__getitem__
         for parts in pieces:

@@ -106,7 +106,11 @@ def train_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     mine = rows.where("lang is not null and text is not null and crc32(cast(id as string)) % 5 != 0")
-    ranked = mine.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    # A hash cutoff from each language's count leaves about twice the sample, so no language meets whole in one task.
+    counts = mine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    near = mine.select("id", "lang").join(F.broadcast(counts), "lang").where(place < F.lit(2_000_000.0 * per_language) / F.col("count") + 100)
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id")))
     chosen = ranked.where(F.col("n") <= per_language).select("id", "lang").distinct().limit(per_language * MOST_LANGUAGES)  # bounded, so it may be broadcast
 
     def kernel(batch):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, langid, packing, tokenfiles, toxicity, warc
+from pagewright.llm import ann, bpe, langid, neardup, packing, tokenfiles, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -50,7 +50,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(tokenfiles.write_token_files(table(spark, sf_dir, "documents"), vocabulary())).drop("shard", "index")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op8_token_files)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op8_token_files, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -64,7 +68,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS dim FROM embeddings WHERE embedding IS NOT NULL),
              g AS (SELECT vec_id FROM c GROUP BY vec_id, dim HAVING count(x) = dim AND bool_and(isfinite(x)) AND max(abs(x)) > 0),
              e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings JOIN g USING (vec_id)),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])))) AS score
                    FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",

@@ -89,3 +89,35 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.Re
                 yield from kernel(batch)
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of a few short columns up to which a table may be broadcast: some ten MB.
+FEW = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast only if its rows have been counted and are few; else Spark joins by shuffling."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first `keys` columns, of batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        start = 0
+        for i, row in enumerate(rows):
+            if row != last and last is not None and (held or i > start):
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield pa.Table.from_batches(held)
+                held, start = [], i
+            last = row
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
