@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, langid, neardup, packing, tokenfiles, toxicity, warc
+from pagewright.llm import ann, bpe, langid, linededup, neardup, packing, tokenfiles, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -46,6 +46,13 @@ def op6_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    deleted = F.aggregate("_runs_deleted", F.lit(0), lambda n, r: n + r["length"])
+    runs = F.array_join(F.transform("_runs_deleted", lambda r: F.concat_ws("+", r["start"].cast("string"), r["length"].cast("string"))), " ")
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), deleted.alias("n_deleted"), runs.alias("deleted_runs"), "text")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(tokenfiles.write_token_files(table(spark, sf_dir, "documents"), vocabulary())).drop("shard", "index")
 
@@ -54,7 +61,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op8_token_files, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op7_line_dedup, op8_token_files, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -72,4 +79,20 @@ ORACLE_SQL: dict[str, str] = {
                    FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op7_line_dedup": """
+        WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL AND text <> ''),
+             l AS (SELECT doc_id, place, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM raw),
+             n AS (SELECT *, CASE WHEN body <> '' THEN row_number() OVER (PARTITION BY doc_id, body <> '' ORDER BY place) - 1 END AS ln,
+                          len(string_split_regex(body, '\\s+')) AS words FROM l),
+             w AS (SELECT a.doc_id, a.ln, m.m, string_agg(b.body, chr(10) ORDER BY b.ln) AS body
+                   FROM n a CROSS JOIN range(1, 11) AS m(m) JOIN n b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.ln < a.ln + m.m
+                   WHERE a.ln IS NOT NULL GROUP BY a.doc_id, a.ln, m.m HAVING count(*) = m.m AND sum(b.words) >= 10),
+             f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, ln) AS copy FROM w),
+             gone AS (SELECT DISTINCT doc_id, ln + i.i AS ln FROM f CROSS JOIN range(0, 10) AS i(i) WHERE copy > 1 AND i.i < f.m),
+             runs AS (SELECT doc_id, min(ln) AS start, count(*) AS length FROM (SELECT doc_id, ln, ln - row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS g FROM gone) GROUP BY doc_id, g),
+             said AS (SELECT doc_id, CAST(sum(length) AS INTEGER) AS n_deleted, string_agg(start || '+' || length, ' ' ORDER BY start) AS deleted_runs FROM runs GROUP BY doc_id),
+             body AS (SELECT n.doc_id, CAST(count(n.ln) AS INTEGER) AS n_lines, coalesce(string_agg(n.line, chr(10) ORDER BY n.place) FILTER (gone.ln IS NULL), '') AS text
+                      FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.ln = gone.ln GROUP BY n.doc_id)
+        SELECT d.doc_id, coalesce(body.n_lines, 0) AS n_lines, coalesce(said.n_deleted, 0) AS n_deleted, coalesce(said.deleted_runs, '') AS deleted_runs, coalesce(body.text, d.text) AS text
+        FROM documents d LEFT JOIN body USING (doc_id) LEFT JOIN said USING (doc_id)""",
 }
