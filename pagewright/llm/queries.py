@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, langid, linededup, neardup, packing, tokenfiles, toxicity, warc
+from pagewright.llm import ann, bpe, langid, linededup, media, neardup, packing, tokenfiles, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -61,7 +61,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op7_line_dedup, op8_token_files, op9_near_duplicates)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op7_line_dedup, op8_token_files, op9_near_duplicates, op10_media)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
