@@ -31,7 +31,7 @@ TABLES, TUPLE = 12, 3
 #: Bytes of the signature that estimates similarity, and how many must agree: a pair at 0.8 fails once in 20,000 cases.
 SIGNATURE, AGREE = 64, 38
 #: Members, and shingles, of a bucket that a tile may hold; larger buckets are cut into pairs of chunks.
-TILE_DOCS, TILE_SHINGLES = 2048, 4_000_000
+TILE_DOCS, TILE_SHINGLES = 512, 4_000_000
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 WORDS_KEPT = 300_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)

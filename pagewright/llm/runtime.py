@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -29,9 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+#: Paths that scratch() deletes when it ends.
+_made: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path under the shared folder, grouped by application so that clean_up() can find it."""
-    return f"{shared_dir(spark)}/pagewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pagewright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end all tables and files staged within, but those asked to keep."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            delete_path(spark, path)
+        del _made[before:]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
