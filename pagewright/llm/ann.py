@@ -13,7 +13,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.runtime import staged
@@ -24,7 +24,7 @@ QUERY_BLOCK, QUERY_NUMBERS = 8192, 8_000_000
 CANDIDATE_TILE, QUERY_TILE = 2048, 512
 
 
-def usable(vector: str) -> F.Column:
+def usable(vector: str):
     """Whether a vector column is not null, holds no null or non-finite component and is not zero."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -100,7 +100,7 @@ def query_blocks(queries: DataFrame):
                 yield QueryBlock(rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(np.float64))
 
 
-def nearest(df: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of the k nearest rows of every query, by Euclidean distance.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part; vectors

@@ -22,10 +22,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagewright.llm.runtime import FEW, broadcast_if_small, drop_staged, map_batches, staged
+from pagewright.llm.runtime import FEW, broadcast_if_small, drop_staged, map_batches, slices, staged
 
 LEAST_WORDS = 10
+DELETED = "array<struct<start:int,length:int>>"
 PLACE = ("doc", "version", "line")
 
 
@@ -161,6 +163,11 @@ def merged(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[new_doc]), pa.array(version[new_doc]), *lists], ["doc", "version", "starts", "ends"])
 
 
+def _line_count(text):
+    """Lines of a text column that are not blank; null and empty texts have none."""
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, r"[ \t\r\x0b\f]+", "")) > 0)), F.lit(0))
+
+
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, version, starts, ends): for each document with later copies, the maximal runs of its non-blank lines to delete."""
     lines = staged(positions(df, id_col, text_col), "lines")
@@ -211,10 +218,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     runs = runs.withColumnRenamed("doc", "_doc")
     joined = df.join(F.broadcast(runs) if size[0] <= FEW and (size[1] or 0) <= 5 * FEW else runs, F.col(id_col).cast("long") == F.col("_doc"), "left")
 
-    @F.udf("text string, total int, gone int, runs array<struct<start:int,length:int>>", useArrow=True)
-    def edit(text, found):
-        return without_runs(text, [r.asDict() if hasattr(r, "asDict") else r for r in found] if found is not None else None)
+    # Only documents with deletions go through Python, text by text; the others stay in the JVM.
+    plain = joined.where("_runs is null").select(*df.columns, F.lit(None).cast(DELETED).alias("_runs_deleted"), _line_count(F.col(text_col)).alias("_lines"))
+    found = joined.where("_runs is not null").select(*df.columns, "_runs")
+    schema = StructType([*df.schema.fields, *plain.schema.fields[-2:]])
 
-    out = joined.withColumn("_edit", edit(F.col(text_col), F.col("_runs")))
-    columns = [F.col("_edit.text").alias(text_col) if c == text_col else F.col(c) for c in df.columns]
-    return out.select(*columns, F.col("_edit.runs").alias("_runs_deleted"), F.col("_edit.total").alias("_lines"))
+    def edit(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for a, b in slices([None] * batch.num_rows if not batch.num_rows else batch.column(at).to_pylist()):
+                part = batch.slice(a, b - a)
+                done = [without_runs(t, r) for t, r in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                columns = [*part.columns[:-1]]
+                columns[at] = pa.array([d[0] for d in done], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([d[3] or None for d in done], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array([d[1] for d in done], pa.int32())], names=[f.name for f in schema.fields])
+
+    return plain.unionByName(found.mapInArrow(edit, schema)).withColumn("_runs_deleted", F.coalesce("_runs_deleted", F.array().cast(DELETED)))

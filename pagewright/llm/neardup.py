@@ -33,7 +33,7 @@ SIGNATURE, AGREE = 64, 38
 #: Members, and shingles, of a bucket that a tile may hold; larger buckets are cut into pairs of chunks.
 TILE_DOCS, TILE_SHINGLES = 512, 4_000_000
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, max(TABLES, SIGNATURE), dtype=np.uint64)
 

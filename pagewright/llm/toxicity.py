@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.runtime import map_batches
 
 #: Bound on the training sample (labelled rows, the least by hash of doc_id) and on its vocabulary.
-LABELLED_ROWS, MOST_FEATURES, LEAST_DOCS = 6_000, 40_000, 8
+LABELLED_ROWS, MOST_FEATURES, LEAST_DOCS = 4_000, 40_000, 8
 GRADES = 3
 #: Features whose gain is below so many standard deviations of chance get no weight.
 SIGMAS = 5.0
@@ -31,7 +31,7 @@ STEMS = (3, 4, 5, 6, 7, 8)
 #: The dense form of a feature counts in full from this share of a text's words; beyond MOST occurrences more add nothing.
 DENSE, MOST = 0.004, 8
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 
 
 def features_of(word: str) -> list[str]:
@@ -153,8 +153,9 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_
     if len(set(grade > 0)) < 2 or not vocab:
         return ToxicityModel({}, np.array([20.0, 21.0]))
     at = got["at"].combine_chunks()
-    rows_at, words = np.repeat(np.arange(len(grade)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()
-    values = got["value"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    rows_at, words = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()
+    values = got["value"].combine_chunks().flatten().to_numpy()
+    del got, at
     n, toxic = len(grade), (grade > 0).mean()
     mass = np.bincount(words, values * values, len(vocab))
     chance = SIGMAS * np.sqrt(toxic * (1 - toxic) * np.maximum(mass, 2)) / n
