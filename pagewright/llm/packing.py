@@ -37,6 +37,7 @@ def encoded(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -
                     [pa.array(np.full(b - a, part, np.int32)), pa.array(starts), batch.column(0).slice(a, b - a), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())],
                     ["part", "before", "doc_id", "n", "ids"],
                 )
+            pa.default_memory_pool().release_unused()
 
     kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return staged(kept.mapInArrow(run, "part int, before long, doc_id long, n long, ids binary"), "packing-ids")

@@ -107,6 +107,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from kernel(batch)
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

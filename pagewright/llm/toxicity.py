@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.runtime import map_batches
 
 #: Bound on the training sample (labelled rows, the least by hash of doc_id) and on its vocabulary.
-LABELLED_ROWS, MOST_FEATURES, LEAST_DOCS = 4_000, 40_000, 8
+LABELLED_ROWS, MOST_FEATURES, LEAST_DOCS = 3_000, 40_000, 8
+#: Features in more than this share of the sample mark nothing and are left out.
+MOST_SHARE = 0.5
 GRADES = 3
 #: Features whose gain is below so many standard deviations of chance get no weight.
 SIGMAS = 5.0
@@ -140,7 +142,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array([list(text_features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["features"])
 
     counted = map_batches(sample, split, "features array<string>").select(F.explode("features").alias("feature")).groupBy("feature").count()
-    vocab = [r.feature for r in counted.where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "feature").limit(MOST_FEATURES).collect()]
+    total = chosen.count()
+    vocab = [r.feature for r in counted.where((F.col("count") >= LEAST_DOCS) & (F.col("count") <= MOST_SHARE * total)).orderBy(F.desc("count"), "feature").limit(MOST_FEATURES).collect()]
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
 
     def index(batch):
