@@ -218,3 +218,54 @@ def union_blocks(static: DataFrame, rendered: DataFrame) -> DataFrame:
     both = rendered.withColumn("_anchor", F.col("pos")).withColumn("_late", F.lit(0)).unionByName(only.withColumn("_late", F.lit(1)).select(*rendered.columns, "_anchor", "_late"))
     order = of_page().orderBy("_anchor", "_late", "pos")
     return both.withColumn("from_static", F.col("_late") == 1).withColumn("pos", F.row_number().over(order) - 1).drop("_anchor", "_late")
+
+
+def restore_structure(all_blocks: DataFrame, kept: DataFrame) -> DataFrame:
+    """kept with the rules put back whose neighbours on both sides stay."""
+    flag = all_blocks.join(kept.select("page_id", "pos", F.lit(True).alias("_kept")), ["page_id", "pos"], "left")
+    solid = F.when(F.col("kind") != "rule", F.coalesce("_kept", F.lit(False)))
+    before = F.last(solid, ignorenulls=True).over(in_order())
+    after = F.first(solid, ignorenulls=True).over(in_order().rowsBetween(0, Window.unboundedFollowing))
+    back = flag.withColumn("_b", before).withColumn("_a", after).where("kind = 'rule' and _b and _a and _kept is null")
+    return kept.unionByName(back.select(*kept.columns))
+
+
+def restore_lead(all_blocks: DataFrame, kept: DataFrame, most: int = 12, list_share: float = 0.5) -> DataFrame:
+    """kept with the few blocks between the first heading and the content put back, unless they are mostly lists."""
+    start = kept.groupBy("page_id").agg(F.min("pos").alias("_start"))
+    title = all_blocks.where("kind = 'heading'").groupBy("page_id").agg(F.min("pos").alias("_title"))
+    gap = all_blocks.join(start, "page_id").join(title, "page_id").where("pos > _title and pos < _start")
+    fine = gap.groupBy("page_id").agg(F.count("*").alias("_n"), F.avg((F.col("kind") == "list-item").cast("double")).alias("_lists")).where((F.col("_n") <= most) & (F.col("_lists") < list_share))
+    back = gap.join(fine, "page_id", "left_semi").join(kept.select("page_id", "pos"), ["page_id", "pos"], "left_anti")
+    return kept.unionByName(back.select(*kept.columns))
+
+
+def drop_quoted_repeats(blocks: DataFrame, share: float = 0.5) -> DataFrame:
+    """blocks without quotes of which half of the 6-word shingles stood before on the page."""
+    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
+    s = blocks.select("page_id", "pos", "quoted", F.explode(T.shingles(words, 6)).alias("s"))
+    firsts = s.groupBy("page_id", "s").agg(F.min("pos").alias("_first"))
+    seen = s.where("quoted > 0").join(firsts, ["page_id", "s"]).groupBy("page_id", "pos").agg(F.avg((F.col("_first") < F.col("pos")).cast("double")).alias("_share")).where(F.col("_share") >= share)
+    return blocks.join(seen.select("page_id", "pos"), ["page_id", "pos"], "left_anti")
+
+
+def prune_sections(blocks: DataFrame, headings: str = r"(?i)^(related|more from|you may also|recommended|read next|see also|latest)\b") -> DataFrame:
+    """blocks without the sections under headings that lead elsewhere, up to the next heading of the same or a higher level."""
+    h = F.col("kind") == "heading"
+    mark = F.when(h & F.col("text").rlike(headings), F.col("level"))
+    cut = F.last(F.when(mark.isNotNull(), F.struct("pos", "level")), ignorenulls=True).over(in_order())
+    b = blocks.withColumn("_cut", cut)
+    ended = F.max(F.when(h & (~F.col("text").rlike(headings)) & (F.col("level") <= F.col("_cut.level")), F.col("pos"))).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    b = b.withColumn("_ended", ended)
+    return b.where(F.col("_cut").isNull() | (F.coalesce("_ended", F.lit(-1)) > F.col("_cut.pos"))).select(*blocks.columns)
+
+
+def repeat_groups(blocks: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
+    """(page_id, template, instances, words): repeated siblings, by their path without numbers at one place, that hold a
+    good share of the page's words."""
+    parts = F.split(F.substring("xpath", 2, 100000), "/")
+    n = F.size(parts)
+    p = blocks.where("xpath <> '' and words > 0").select("page_id", "words", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("instance"), F.concat(F.array_join(F.slice(parts, F.lit(1), i - 1), "/"), F.lit("/"), F.regexp_replace(F.element_at(parts, i), r"\[\d+\]$", "")).alias("template")))).alias("p"))
+    g = p.select("page_id", "words", "p.*").groupBy("page_id", "template").agg(F.count_distinct("instance").alias("instances"), F.sum("words").alias("words"))
+    total = blocks.groupBy("page_id").agg(F.sum("words").alias("_total"))
+    return g.join(total, "page_id").where((F.col("instances") >= least) & (F.col("words") >= share * F.col("_total"))).drop("_total")

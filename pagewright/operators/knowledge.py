@@ -50,7 +50,8 @@ def near_names(ents: DataFrame) -> DataFrame:
     Candidates share a band of a minhash; each band's key meets only itself in the join.
     """
     grams = ents.select("entity_id", "type", "norm", "evidence", T.name_grams(F.col("norm")).alias("g"))
-    hashes = [F.array_min(F.transform("g", lambda s, i=i: F.xxhash64(F.lit(i), s))) for i in range(BANDS * ROWS)]
+    least = lambda i: F.array_min(F.transform("g", lambda s: F.xxhash64(F.lit(i), s)))
+    hashes = [least(i) for i in range(BANDS * ROWS)]
     bands = F.array(*(F.xxhash64(F.lit(b), *hashes[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
     banded = grams.withColumn("band", F.explode(F.array_distinct(bands)))
     a, b = banded.alias("a"), banded.alias("b")
