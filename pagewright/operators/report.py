@@ -45,7 +45,7 @@ def site_score(parts: DataFrame) -> DataFrame:
     weight = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(float(v)))))
     w = parts.withColumn("weight", weight[F.col("part")])
     measured = F.when(F.col("earned").isNotNull(), F.col("weight"))
-    return w.groupBy("site").agg(F.bround(100 * F.sum("earned") / F.sum(measured)).alias("total"))
+    return w.groupBy("site").agg(F.bround(F.round(100 * F.sum("earned") / F.sum(measured), 9)).alias("total"))
 
 
 def precision_recall(found: Column, wanted: Column) -> Column:

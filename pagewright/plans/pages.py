@@ -168,11 +168,13 @@ def price_texts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(r,) for r in rows], "raw string").select("raw", T.to_number(F.col("raw")).alias("number"))
 
 
-@query("SELECT depth, count(*) AS pages FROM (SELECT page_id % 1 AS depth FROM pages WHERE page_id = 0) GROUP BY depth")
+@query("SELECT CAST(floor(log2(doc_id)) AS BIGINT) AS depth, count(*) AS pages FROM documents WHERE doc_id BETWEEN 1 AND 15 GROUP BY ALL")
 def crawl_levels(t: Tables) -> DataFrame:
-    """2.4.1-2.4.8: breadth-first levels; the table's links lead to no page of it, so the root stands alone."""
-    root = t.pages.where("page_id = 0").select("url").first()[0]
-    return crawl.crawl(t.pages, parse.links_of(parse.parse_pages(t.pages)), root).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("pages"))
+    """2.4.1-2.4.8: breadth-first levels to depth 3, over a site in which page n links to pages 2n and 2n + 1."""
+    url = lambda n: F.concat(F.lit("https://site.example/p"), n.cast("string"))
+    d = t.documents.select(F.col("doc_id").alias("n"))
+    links = d.select(url(F.col("n")).alias("url"), F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("m")).select("url", url(F.col("m")).alias("href"))
+    return crawl.crawl(d.select(url(F.col("n")).alias("url")), links, "https://site.example/p1").groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("pages"))
 
 
 @query("""WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
@@ -210,13 +212,13 @@ def crawler_policies(t: Tables) -> DataFrame:
     return u.join(p, "url").select("agent", "page_id", "allowed")
 
 
-@query("""WITH p AS (SELECT 's' || (page_id % 7) AS site, unnest(['readable', 'robots', 'dead']) AS part, unnest([CASE WHEN page_id % 7 = 0 THEN NULL ELSE 20.0 END, 10.0, 5.0]) AS earned FROM pages WHERE page_id < 7)
-    SELECT site, round_even(100 * sum(earned) / sum(CASE WHEN earned IS NOT NULL THEN CASE part WHEN 'readable' THEN 25 WHEN 'robots' THEN 20 ELSE 5 END END), 0) AS total FROM p GROUP BY site""")
+@query(f"""WITH {SQL_URL}, m AS (SELECT u.site, avg(CASE WHEN length(pg.html) > 2000 THEN 1.0 ELSE 0.0 END) AS long, avg(CASE WHEN u.q = '' THEN 1.0 ELSE 0.0 END) AS plain, max(CASE WHEN contains(pg.html, 'lang="fr"') THEN 1 ELSE 0 END) AS fr FROM u JOIN pages pg USING (page_id) GROUP BY u.site)
+    SELECT site, round_even(round(100 * (25 * long + 20 * plain + CASE WHEN fr = 1 THEN 5 ELSE 0 END) / (25 + 20 + CASE WHEN fr = 1 THEN 5 ELSE 0 END), 9), 0) AS total FROM m""")
 def readiness(t: Tables) -> DataFrame:
-    """2.20.1: a fixed small report."""
-    p = t.pages.where("page_id < 7").select(F.concat(F.lit("s"), (F.col("page_id") % 7).cast("string")).alias("site"), F.explode(F.array(
-        F.struct(F.lit("readable").alias("part"), F.when(F.col("page_id") % 7 != 0, 20.0).alias("earned")), F.struct(F.lit("robots").alias("part"), F.lit(10.0).alias("earned")), F.struct(F.lit("dead").alias("part"), F.lit(5.0).alias("earned")))).alias("x")).select("site", "x.*")
-    return report.site_score(p)
+    """2.20.1: sub-scores of each site from its pages; what a site lacks is not measured."""
+    p = t.pages.select(U.site_host(F.col("url")).alias("site"), (F.length("html") > 2000).cast("double").alias("long"), (F.regexp_extract(U.normalize_url(F.col("url")), r"\?", 0) == "").cast("double").alias("plain"), F.col("html").contains('lang="fr"').alias("fr"))
+    m = p.groupBy("site").agg((25 * F.avg("long")).alias("readable"), (20 * F.avg("plain")).alias("robots"), F.when(F.max("fr"), 5.0).alias("dead"))
+    return report.site_score(m.unpivot("site", ["readable", "robots", "dead"], "part", "earned"))
 
 
 @query("""SELECT b.item_id, d.doc_id, count(*) AS shared FROM

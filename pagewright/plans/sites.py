@@ -74,36 +74,81 @@ def graph_expansion(t: Tables) -> DataFrame:
 
 
 @query("""SELECT coalesce(b.o_orderkey, a.o_orderkey) AS key, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderkey IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change
-    FROM (SELECT o_orderkey, sha256(o_orderstatus) AS h FROM orders WHERE o_orderkey % 10 <> 0) b FULL OUTER JOIN (SELECT o_orderkey, sha256(CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 11 <> 0) a ON a.o_orderkey = b.o_orderkey""")
+    FROM (SELECT o_orderkey, sha256(o_orderpriority) AS h FROM orders WHERE o_orderstatus <> 'P') b FULL OUTER JOIN (SELECT o_orderkey, sha256(CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderpriority END) AS h FROM orders WHERE o_orderpriority <> '5-LOW') a ON a.o_orderkey = b.o_orderkey""")
 def snapshot_diff(t: Tables) -> DataFrame:
-    """2.18.1: two snapshots made from one table, with rows gone, new and changed."""
+    """2.18.1: the settled orders before, the urgent ones after, dear ones changed."""
     o = t.orders.withColumnRenamed("o_orderkey", "key")
-    before = o.where("key % 10 <> 0").select("key", F.sha2("o_orderstatus", 256).alias("content_hash"))
-    after = o.where("key % 11 <> 0").select("key", F.sha2(F.when(F.col("key") % 7 == 0, "X").otherwise(F.col("o_orderstatus")), 256).alias("content_hash"))
+    before = o.where("o_orderstatus <> 'P'").select("key", F.sha2("o_orderpriority", 256).alias("content_hash"))
+    after = o.where("o_orderpriority <> '5-LOW'").select("key", F.sha2(F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderpriority")), 256).alias("content_hash"))
     return site.diff_pages(before, after)
 
 
-@query("""WITH s AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations), b AS (SELECT * FROM s), a AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN text || ' more' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE turn < 4)
+@query("""WITH b AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations),
+    a AS (SELECT conv_id, turn, role, CASE WHEN length(text) > 300 THEN text || ' more' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE length(text) < 900)
     SELECT coalesce(b.conv_id, a.conv_id) AS key, coalesce(b.role, a.role) AS heading, CAST(coalesce(b.n, a.n) AS INTEGER) AS occurrence, CASE WHEN b.text IS NULL THEN 'added' WHEN a.text IS NULL THEN 'removed' ELSE 'edited' END AS change
-    FROM b FULL OUTER JOIN a ON a.conv_id = b.conv_id AND a.role = b.role AND a.n = b.n WHERE a.text IS DISTINCT FROM b.text""")
+    FROM b FULL OUTER JOIN a ON a.conv_id = b.conv_id AND a.role = b.role AND a.n = b.n WHERE trim(regexp_replace(a.text, '\\s+', ' ', 'g')) IS DISTINCT FROM trim(regexp_replace(b.text, '\\s+', ' ', 'g'))""")
 def section_diff(t: Tables) -> DataFrame:
-    """2.18.2: conversations as pages, roles as headings."""
+    """2.18.2: conversations as pages, roles as headings; very long turns are gone, long ones edited."""
     c = t.conversations.select(F.col("conv_id").alias("key"), F.col("turn").alias("section"), F.col("role").alias("heading"), "text")
-    after = c.where("section < 4").withColumn("text", F.when(F.col("section") % 3 == 1, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    after = c.where(F.length("text") < 900).withColumn("text", F.when(F.length("text") > 300, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
     return site.diff_sections(c, after)
 
 
-@query("""SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 5 = 1 THEN 'added' WHEN doc_id % 5 = 2 THEN NULL WHEN doc_id % 5 = 3 THEN 'suppressed' END AS verdict FROM documents WHERE doc_id % 5 < 4""")
+@query("""SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 5 = 1 THEN 'added' WHEN doc_id % 5 = 2 THEN NULL WHEN doc_id % 5 = 3 THEN 'suppressed' ELSE 'changed' END AS verdict FROM documents""")
 def watch_runs(t: Tables) -> DataFrame:
-    """2.18.4, 2.18.10, 2.18.11: gone, new, failed, and changed by a date line alone."""
-    d = t.documents.where("doc_id % 5 < 4")
+    """2.18.4, 2.18.10, 2.18.11: every document gone, new, failed, changed by a date line alone, or changed, by turns."""
     n = F.col("doc_id") % 5
-    before = d.select(F.col("doc_id").alias("key"), F.when(n == 1, 500).otherwise(200).alias("status"), F.sha2("text", 256).alias("content_hash"), "text")
-    text = F.concat("text", F.lit("\n\nLast updated on 12 March 2024"))
-    after = d.select(F.col("doc_id").alias("key"), F.when(n == 0, 404).when(n == 2, 503).otherwise(200).alias("status"), F.sha2(text, 256).alias("content_hash"), text.alias("text"))
+    before = t.documents.select(F.col("doc_id").alias("key"), F.when(n == 1, 500).otherwise(200).alias("status"), F.sha2("text", 256).alias("content_hash"), "text")
+    text = F.concat("text", F.when(n == 4, "\n\nan entirely new paragraph").otherwise("\n\nLast updated on 12 March 2024"))
+    after = t.documents.select(F.col("doc_id").alias("key"), F.when(n == 0, 404).when(n == 2, 503).otherwise(200).alias("status"), F.sha2(text, 256).alias("content_hash"), text.alias("text"))
     return site.watch_verdicts(before, after)
 
 
+@query("""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) AS words FROM documents)
+    SELECT doc_id AS page_id, CASE WHEN words < 20 AND contains(lower(text), 'g-recaptcha') THEN 'challenge: recaptcha' WHEN length(text) <= 1500 AND contains(lower(text), 'access denied') THEN 'block page: access denied' END AS wall FROM documents JOIN t USING (doc_id)""")
+def document_walls(t: Tables) -> DataFrame:
+    """2.3.26-2.3.30: documents as answers of a server."""
+    from pagewright.operators import walls
+
+    d = t.documents.select(F.col("doc_id").alias("page_id"), F.lit(200).alias("status"), F.col("text").alias("html"), "text", F.lit("https://e.com/").alias("requested"), F.lit("https://e.com/").alias("url"), T.word_count(F.col("text")).alias("words"))
+    return walls.walls(d)
+
+
+@query("""SELECT doc_id AS key, CAST(1 AS BIGINT) AS sections, sha256(trim(regexp_replace(text, '[\\s]+', ' ', 'g'))) AS body FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '(^|\\n)#{1,6}\\s') AND NOT regexp_matches(text, '(^|\\n)\\s*(```|~~~)')""")
+def markdown_sections(t: Tables) -> DataFrame:
+    """2.18.12: documents without headings are one section."""
+    s = site.sections_from_markdown(t.documents.select(F.col("doc_id").alias("key"), F.col("text").alias("markdown")))
+    return s.groupBy("key").agg(F.count("*").alias("sections"), F.first(F.sha2(T.fold_space(F.col("text")), 256)).alias("body")).where("sections = 1")
+
+
+@query("SELECT conv_id, turn, round((length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) / greatest(length(text), 1), 9) AS digits, CAST(turn AS DOUBLE) / max(turn) OVER (PARTITION BY conv_id) AS place FROM conversations")
+def text_shapes(t: Tables) -> DataFrame:
+    """2.11.2."""
+    from pyspark.sql import Window
+
+    from pagewright.operators.classify import text_shape
+
+    c = t.conversations
+    return c.select("conv_id", "turn", F.round(text_shape(F.col("text"))["digits"], 9).alias("digits"), (F.col("turn") / F.max("turn").over(Window.partitionBy("conv_id"))).alias("place"))
+
+
+@query()
+def page_feature_table(t: Tables) -> DataFrame:
+    """2.11.1, 2.11.6."""
+    from pagewright.operators import classify
+
+    parsed = parse.parse_pages(t.pages)
+    return classify.page_features(parsed, parse.blocks_of(parsed))
+
+
+@query()
+def repeated_siblings(t: Tables) -> DataFrame:
+    """2.9.17."""
+    from pagewright.operators.assemble import repeat_groups
+
+    return repeat_groups(parse.blocks_of(parse.parse_pages(t.pages)), share=0.1)
+
+
 @query(f"WITH {SQL_URL}, k AS (SELECT DISTINCT regexp_replace(key, '^https?://', '') AS page_key FROM u) SELECT a.page_key, max_by(b.page_key, length(rtrim(b.page_key, '/'))) AS parent FROM k a LEFT JOIN k b ON a.page_key <> b.page_key AND starts_with(a.page_key, rtrim(b.page_key, '/') || '/') GROUP BY a.page_key")
 def parent_pages(t: Tables) -> DataFrame:
     """2.16.18."""
