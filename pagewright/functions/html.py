@@ -10,9 +10,11 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+from pagewright.functions.mathml import latex
+
 MAX_BYTES = 32 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style template noscript head svg math iframe object select textarea button".split())
+SKIP = frozenset("script style template noscript head svg iframe object textarea button".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video audio".split()
@@ -150,9 +152,38 @@ def tree(html: str | None) -> Node:
     builder = Builder()
     builder.feed(html)
     builder.close()
+    compose_shadows(builder.root)
+    unwrap_noscript(builder.root)
     return builder.root
 
 
+def compose_shadows(root: Node) -> None:
+    """Declarative shadow roots in place of their hosts' children, which go to the slots of their names."""
+    for host in [n for n in root.walk() if any(isinstance(k, Node) and k.tag == "template" and (k.attrs.get("shadowrootmode") or k.attrs.get("shadowroot")) for k in n.kids)]:
+        shadow = next(k for k in host.kids if isinstance(k, Node) and k.tag == "template")
+        light: dict[str, list] = {}
+        for k in host.kids:
+            if k is not shadow:
+                light.setdefault(k.attrs.get("slot", "") if isinstance(k, Node) else "", []).append(k)
+        for slot in [n for n in shadow.walk() if n.tag == "slot"]:
+            slot.kids = light.pop(slot.attrs.get("name", ""), None) or slot.kids
+            slot.tag = "span"
+        host.kids = shadow.kids
+        for k in host.kids:
+            if isinstance(k, Node):
+                k.up = host
+
+
+def unwrap_noscript(root: Node, shell: int = 150, least: int = 100) -> None:
+    """A page that is nothing without scripts but says what it holds in noscript is read from there."""
+    body = first(root, "body") or root
+    parts = [n for n in body.walk() if n.tag == "noscript"]
+    words = sum(len(n.text().split()) for n in parts)
+    if parts and words > least and len(body.text().split()) - words < shell:
+        for n in parts:
+            n.tag = "div"
+
+
 def first(root: Node, tag: str) -> Node | None:
     return next((n for n in root.walk() if n.tag == tag), None)
 
@@ -294,6 +325,17 @@ class Blocks:
                 self.flush(context)
                 self.emit(context | {"kind": "image", "node": node}, text=node.attrs.get("alt", ""), alt=node.attrs.get("alt"), href=absolute(src, self.base))
             return
+        if tag == "math":
+            if formula := latex(node):
+                mark = "$$" if node.attrs.get("display") == "block" else "$"
+                self.add(f"{mark}{formula}{mark}")
+            return
+        if tag == "select":
+            choices = [n.text() for n in node.walk() if n.tag == "option"]
+            if any(choices):
+                self.flush(context)
+                self.emit(context | {"kind": "paragraph", "widget": "select", "node": node}, text=", ".join(c for c in choices if c))
+            return
         if tag not in BLOCK and tag != "#document":
             self.inline(node, context)
             return

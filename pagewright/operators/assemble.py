@@ -269,3 +269,16 @@ def repeat_groups(blocks: DataFrame, least: int = 3, share: float = 0.3) -> Data
     g = p.select("page_id", "words", "p.*").groupBy("page_id", "template").agg(F.count_distinct("instance").alias("instances"), F.sum("words").alias("words"))
     total = blocks.groupBy("page_id").agg(F.sum("words").alias("_total"))
     return g.join(total, "page_id").where((F.col("instances") >= least) & (F.col("words") >= share * F.col("_total"))).drop("_total")
+
+
+def prune_product(blocks: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """blocks of product pages without grids of other products: repeated siblings of which most hold a price and a link, or
+    a date (reviews); the group that holds the page's h1 stays."""
+    group = F.regexp_replace("xpath", r"\[\d+\](?=(?:/[^/]*){0,2}$)", "")
+    instance = F.regexp_extract("xpath", r"^(.*\[\d+\])/?[^/]*$", 1)
+    b = blocks.withColumn("_g", group).withColumn("_i", instance)
+    per = b.groupBy("page_id", "_g", "_i").agg(
+        F.bool_or(F.col("text").rlike(r"[$€£]\s?\d|\d\s?(?:USD|EUR|GBP)")).alias("priced"), F.bool_or(F.col("href").isNotNull()).alias("linked"), F.bool_or(F.col("text").rlike(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2} \p{L}+ \d{4}\b")).alias("dated"), F.bool_or((F.col("kind") == "heading") & (F.col("level") == 1)).alias("title")
+    )
+    away = per.groupBy("page_id", "_g").agg(F.count("*").alias("n"), F.avg(((F.col("priced") & F.col("linked")) | F.col("dated")).cast("double")).alias("r"), F.bool_or("title").alias("t")).where((F.col("n") >= least) & (F.col("r") >= share) & ~F.col("t"))
+    return b.join(away.select("page_id", "_g"), ["page_id", "_g"], "left_anti").select(*blocks.columns)

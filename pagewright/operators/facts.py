@@ -125,3 +125,35 @@ def run_score(verdicts: DataFrame) -> DataFrame:
     pages = verdicts.groupBy("page_id").agg(F.bool_and(F.col("verdict") == "correct").alias("perfect"))
     rate = lambda v: F.avg((F.col("verdict") == v).cast("double"))
     return verdicts.agg(rate("correct").alias("field_accuracy"), rate("wrong").alias("wrong_rate"), rate("missing").alias("miss_rate")).crossJoin(pages.agg(F.avg(F.col("perfect").cast("double")).alias("page_success")))
+
+
+#: Types of structured data that speak of a page of a kind.
+SUBJECTS = {"product": ["Product", "Offer", "ProductGroup"], "article": ["Article", "NewsArticle", "BlogPosting", "TechArticle"], "recipe": ["Recipe"], "event": ["Event"], "job": ["JobPosting"], "profile": ["Person", "Organization", "LocalBusiness"], "video": ["VideoObject"]}
+GENERIC = ["WebSite", "WebPage", "BreadcrumbList", "Organization", "SearchAction", "ImageObject"]
+#: What a value that only a generic node or social metadata gives is worth.
+FILLED = 0.8
+
+
+def subject_tiers(payloads: DataFrame, pages: DataFrame) -> DataFrame:
+    """payloads of each page's subject with `tier` 1 (its kind's types), 2 (other types) or 3 (generic types, social
+    metadata); within a tier nodes that name the page itself are alone if there are any. pages is (page_id, url, page_type).
+    """
+    from pagewright.functions import urls as U
+
+    kind = F.regexp_extract(F.coalesce(F.get_json_object("data", "$.@type"), F.lit("")), r"([A-Za-z]+)[\]\"]*$", 1)
+    own = F.create_map(*(x for k, v in SUBJECTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    p = payloads.join(pages.select("page_id", F.col("url").alias("_url"), "page_type"), "page_id").withColumn("_kind", kind)
+    tier = F.when((F.col("source") == "open-graph") | F.col("_kind").isin(*GENERIC), 3).when(F.coalesce(F.array_contains(own[F.col("page_type")], F.col("_kind")), F.lit(False)), 1).otherwise(2)
+    named = F.coalesce(F.get_json_object("data", "$.url"), F.get_json_object("data", "$['@id']"), F.get_json_object("data", "$.mainEntityOfPage"))
+    p = p.withColumn("tier", tier).withColumn("_self", F.coalesce(U.same_page(named, F.col("_url")), F.lit(False)))
+    some = F.max("_self").over(Window.partitionBy("page_id", "tier"))
+    return p.withColumn("_some", some).where(F.col("_self") | ~F.col("_some")).drop("_url", "_kind", "_self", "_some", "page_type")
+
+
+def page_facts(payloads: DataFrame, pages: DataFrame, schema: dict) -> DataFrame:
+    """One fact for each page and path: of the best tier that has it; facts of lower tiers fill gaps at less confidence."""
+    tiers = subject_tiers(payloads, pages)
+    facts = extract_facts(tiers, schema).join(tiers.select("page_id", "seq", "tier"), ["page_id", "seq"])
+    facts = facts.withColumn("confidence", F.round(F.col("confidence") * F.when(F.col("tier") == 3, FILLED).otherwise(1.0), 4))
+    best = Window.partitionBy("page_id", "path").orderBy("tier", F.desc("confidence"), "seq", "value")
+    return facts.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")

@@ -99,3 +99,32 @@ def test_chrome_of_a_stream(spark, tmp_path):
     stream_chrome(lines).writeStream.format("memory").queryName("chrome").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = spark.table("chrome")
     assert got.count() == 16 and got.where("chrome").select("key").distinct().collect()[0].key == "home" and got.where("chrome").count() in (2, 1)
+
+
+def test_formulas_and_shadows():
+    from pagewright.functions import html as H
+
+    def texts(html):
+        return [b["text"] for b in H.Blocks(H.tree(html), "").out]
+
+    assert texts("<p>x <math><mfrac><mi>a</mi><msup><mi>b</mi><mn>2</mn></msup></mfrac><mo>≤</mo><msqrt><mi>c</mi></msqrt></math></p>") == [r"x $\frac{a}{b^2}\leq \sqrt{c}$"]
+    assert texts('<math display="block"><semantics><mi>x</mi><annotation encoding="application/x-tex">E=mc^2</annotation></semantics></math>') == ["$$E=mc^2$$"]
+    assert texts('<my-card><template shadowrootmode=open><h2><slot name=t>none</slot></h2><p><slot></slot></p></template><b slot=t>Head</b>body</my-card>') == ["Head", "body"]
+    assert texts("<body><div id=app></div><noscript><p>" + "word " * 120 + "</p></noscript>") != []
+    assert texts("<select><option>a<option>b</select>") == ["a, b"]
+
+
+def test_subjects(spark):
+    from pagewright.operators import facts
+
+    rows = [(1, 0, "json-ld", json.dumps({"@type": "WebSite", "name": "Site"})), (1, 1, "json-ld", json.dumps({"@type": "Product", "name": "Other", "url": "https://e.com/o"})), (1, 2, "json-ld", json.dumps({"@type": "Product", "name": "Mine", "url": "http://www.e.com/p/"})), (1, 3, "open-graph", json.dumps({"og:title": "T", "og:image": "i.png"}))]
+    p = spark.createDataFrame(rows, "page_id long, seq int, source string, data string")
+    pages = spark.createDataFrame([(1, "https://e.com/p", "product")], "page_id long, url string, page_type string")
+    got = {r.path: (json.loads(r.value), r.tier) for r in facts.page_facts(p, pages, {"properties": {"name": {"type": "string"}, "image": {"type": "string"}}}).collect()}
+    assert got == {"name": ("Mine", 1), "image": ("i.png", 3)}
+
+
+def test_product_grids(spark):
+    rows = [(1, 0, "Shoe", "heading", 1, "/b[1]/h1[1]", None), (1, 1, "Fine shoe for $90", "paragraph", 0, "/b[1]/p[1]", None)] + [(1, 2 + i, f"Other {i} $5{i}", "paragraph", 0, f"/b[1]/ul[1]/li[{i}]/p[1]", "/x") for i in range(1, 5)]
+    b = spark.createDataFrame(rows, "page_id long, pos int, text string, kind string, level int, xpath string, href string")
+    assert sorted(r.pos for r in assemble.prune_product(b).collect()) == [0, 1]
