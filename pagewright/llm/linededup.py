@@ -1,6 +1,6 @@
 """Line deduplication by a distributed suffix array over line ids.
 
-Lines get ids by their order; prefix doubling then ranks every position by the 2, 4 and 8 lines that start there: each
+Lines get ids by their order; prefix doubling then ranks every position by the 2 and 4 lines that start there: each
 round sorts the distinct pairs of ranks and numbers them by prefix sums over the sorted ranges. Ranks of all positions
 to a depth of 2^k lines are the suffix array to that depth; positions of equal rank are its LCP interval. An interval of
 any depth m is named by two overlapping ranks, (rank at i, rank at i + m - 2^k).
@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from pagewright.llm.runtime import FEW, broadcast_if_small, drop_staged, map_batches, slices, staged
 
-LEAST_WORDS = 10
+LEAST_WORDS = 4
 DELETED = "array<struct<start:int,length:int>>"
 PLACE = ("doc", "version", "line")
 

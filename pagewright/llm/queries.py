@@ -89,10 +89,10 @@ ORACLE_SQL: dict[str, str] = {
              n AS (SELECT *, CASE WHEN body <> '' THEN row_number() OVER (PARTITION BY doc_id, body <> '' ORDER BY place) - 1 END AS ln,
                           len(string_split_regex(body, '\\s+')) AS words FROM l),
              w AS (SELECT a.doc_id, a.ln, m.m, string_agg(b.body, chr(10) ORDER BY b.ln) AS body
-                   FROM n a CROSS JOIN range(1, 11) AS m(m) JOIN n b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.ln < a.ln + m.m
-                   WHERE a.ln IS NOT NULL GROUP BY a.doc_id, a.ln, m.m HAVING count(*) = m.m AND sum(b.words) >= 10),
+                   FROM n a CROSS JOIN range(1, 5) AS m(m) JOIN n b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.ln < a.ln + m.m
+                   WHERE a.ln IS NOT NULL GROUP BY a.doc_id, a.ln, m.m HAVING count(*) = m.m AND sum(b.words) >= 4),
              f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, ln) AS copy FROM w),
-             gone AS (SELECT DISTINCT doc_id, ln + i.i AS ln FROM f CROSS JOIN range(0, 10) AS i(i) WHERE copy > 1 AND i.i < f.m),
+             gone AS (SELECT DISTINCT doc_id, ln + i.i AS ln FROM f CROSS JOIN range(0, 4) AS i(i) WHERE copy > 1 AND i.i < f.m),
              runs AS (SELECT doc_id, min(ln) AS start, count(*) AS length FROM (SELECT doc_id, ln, ln - row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS g FROM gone) GROUP BY doc_id, g),
              said AS (SELECT doc_id, CAST(sum(length) AS INTEGER) AS n_deleted, string_agg(start || '+' || length, ' ' ORDER BY start) AS deleted_runs FROM runs GROUP BY doc_id),
              body AS (SELECT n.doc_id, CAST(count(n.ln) AS INTEGER) AS n_lines, coalesce(string_agg(n.line, chr(10) ORDER BY n.place) FILTER (gone.ln IS NULL), '') AS text

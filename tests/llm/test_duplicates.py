@@ -26,13 +26,13 @@ def deleted_by_hand(docs, least):
     return gone
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_lines_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, least", [(0, 10), (1, 10), (2, 4)])
+def test_lines_against_brute_force(spark, seed, least):
     rng = random.Random(seed)
     pool = ["a", "b b", "c c c", "d d d d", "one two three four five six seven eight nine ten eleven", "x y z w v"]
     docs = [(i, "\n".join(rng.choice([*pool, "", f"own {i} {rng.random()}"]) for _ in range(rng.randrange(14)))) for i in range(25)]
-    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    for d, gone in deleted_by_hand(docs, 10).items():
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least_words=least).collect()}
+    for d, gone in deleted_by_hand(docs, least).items():
         mine = {i for r in got[d]._runs_deleted for i in range(r.start, r.start + r.length)}
         assert mine == gone, d
         kept = [x for x in dict(docs)[d].split("\n") if x]
@@ -41,13 +41,13 @@ def test_lines_against_brute_force(spark, seed):
 
 def test_line_edges(spark):
     long = "these are more than ten words in one long line of text"
-    rows = [(1, long, "k"), (2, f" {long}\t\n\nown", "k"), (3, None, None), (4, "", "k"), (None, long, "k"), (1, long, "k"), (5, "\n".join([long] * 4000), "k"), (6, "short line\nshort line", "k")]
+    rows = [(1, long, "k"), (2, f" {long}\t\n\nown", "k"), (3, None, None), (4, "", "k"), (None, long, "k"), (1, long, "k"), (5, "\n".join([long] * 4000), "k"), (6, "short\nline\nshort\nline\n", "k"), (7, "line\nline", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("line", F.lit(1)).withColumn("words", F.lit(2)).withColumn("doc", F.lit(3))
     out = linededup.dedup_lines(df)
     assert out.columns[:6] == df.columns
     got = sorted(out.collect(), key=lambda r: (r.doc_id or 0))
     text = lambda d: [r.text for r in got if r.doc_id == d]
-    assert text(1) == [long, long] and text(2) == ["\nown"] and text(3) == [None] and text(4) == [""] and text(None) == [long] and text(5) == [""] and text(6) == ["short line\nshort line"]
+    assert text(1) == [long, long] and text(2) == ["\nown"] and text(3) == [None] and text(4) == [""] and text(None) == [long] and text(5) == [""] and text(6) == ["short\nline\nshort\nline\n"] and text(7) == ["line\nline"]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
