@@ -45,14 +45,14 @@ def scope_refusals(t: Tables) -> DataFrame:
     return t.pages.select(U.site_host(F.col("url")).alias("site"), r.alias("refusal")).groupBy("site", "refusal").agg(F.count("*").alias("urls"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, len(regexp_extract_all(lower(text), '[A-Za-z0-9][A-Za-z0-9''_-]*')) AS tokens, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS folded FROM documents")
+@query("SELECT doc_id, sha256(text) AS content_hash, CAST(len(regexp_extract_all(lower(text), '[A-Za-z0-9][A-Za-z0-9''_-]*')) AS INTEGER) AS tokens, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS folded FROM documents")
 def text_keys(t: Tables) -> DataFrame:
     """2.5.2, 2.6.2, 2.10.5, 2.17.1."""
     x = F.col("text")
     return t.documents.select("doc_id", T.content_hash(x).alias("content_hash"), F.size(T.tokenize(x)).alias("tokens"), F.md5(T.chrome_key(x)).alias("folded"))
 
 
-@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS anchors FROM pages")
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS anchors FROM pages")
 def raw_heads(t: Tables) -> DataFrame:
     """2.6.3 on the raw text."""
     return t.pages.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).alias("anchors"))
@@ -148,7 +148,7 @@ def page_payloads(t: Tables) -> DataFrame:
 SCHEMA = {"type": "object", "properties": {"title": {"type": "string"}, "price": {"type": "number"}}}
 
 
-@query("SELECT page_id, path, value, how, confidence FROM (SELECT page_id, unnest(['price', 'title']) AS path, unnest(['1299.0', '\"Page ' || page_id || '\"']) AS value, unnest(['exact', 'known-alias']) AS how, unnest([0.95, 0.8]) AS confidence FROM pages)")
+@query("SELECT page_id, path, value, how, confidence FROM (SELECT page_id, unnest(['price', 'title']) AS path, unnest(['1299.0', '\"Page ' || page_id || '\"']) AS value, unnest(['exact', 'known-alias']) AS how, unnest([0.95::DOUBLE, 0.8::DOUBLE]) AS confidence FROM pages)")
 def page_facts(t: Tables) -> DataFrame:
     """2.15: facts under a schema, one for each path."""
     return facts.merge_facts(facts.extract_facts(page_payloads(t), SCHEMA)).select("page_id", "path", "value", "how", "confidence")
@@ -178,7 +178,7 @@ def crawl_levels(t: Tables) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-    SELECT conv_id, turn, max(turn * 0.5 - n * 2) OVER (PARTITION BY conv_id ORDER BY turn) + n * 2 AS starts_at FROM e""")
+    SELECT conv_id, turn, CAST(max(turn * 0.5 - n * 2) OVER (PARTITION BY conv_id ORDER BY turn) + n * 2 AS DOUBLE) AS starts_at FROM e""")
 def throttled(t: Tables) -> DataFrame:
     """2.4.9: conversations stand for hosts, turns for requests half a second apart."""
     r = t.conversations.select(F.concat(F.lit("http://h"), F.col("conv_id").cast("string"), F.lit(".example/"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("url"), (F.col("turn") * 0.5).alias("at"))
@@ -232,7 +232,7 @@ def shared_shingles(t: Tables) -> DataFrame:
     return d.join(b, "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
-@query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, sum(length(text)) OVER (PARTITION BY conv_id) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, CAST(sum(length(text)) OVER (PARTITION BY conv_id) AS BIGINT) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def neighbour_features(t: Tables) -> DataFrame:
     """2.11.1: previous, next and page-level features."""
     w = Window.partitionBy("conv_id").orderBy("turn")
