@@ -38,9 +38,18 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.regexp_replace(text, WIDE, " "), F.lit(r"\S+"), F.lit(0))) + wide
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body and its lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(words: Column, size: int) -> Column:
     """Distinct runs of `size` words, joined by a space; none for fewer words."""
-    return F.when(F.size(words) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w):
+        return F.when(F.size(w) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def snake_case(text: Column) -> Column:

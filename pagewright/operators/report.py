@@ -58,7 +58,7 @@ def precision_recall(found: Column, wanted: Column) -> Column:
 
 def token_f1(found: Column, wanted: Column) -> Column:
     """F1 over token multisets: equal tokens are told apart by their number."""
-    numbered = lambda c: F.transform(T.tokenize(c), lambda t, i: F.concat(t, F.lit("#"), F.size(F.filter(F.slice(T.tokenize(c), F.lit(1), i + 1), lambda x: x == t)).cast("string")))
+    numbered = lambda c: T.bound(T.tokenize(c), lambda w: F.transform(w, lambda t, i: F.concat(t, F.lit("#"), F.size(F.filter(F.slice(w, F.lit(1), i + 1), lambda x: x == t)).cast("string"))))
     return precision_recall(numbered(found), numbered(wanted))["f1"]
 
 
