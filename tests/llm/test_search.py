@@ -64,7 +64,7 @@ def test_loser_tree(k):
 
 
 def brute(ids, x, q, k):
-    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])  # in the order of SQL
     at = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
     return [(int(ids[i]), d[i]) for i in at]
 
