@@ -178,3 +178,19 @@ def test_stages_take_empty_and_odd_tables(spark):
     for df in (odd, odd.limit(0)):
         for _, stage in p.STAGES:
             assert stage(spark, df, SMALL).count() >= 0
+
+
+def test_pipeline_deletes_short_repeated_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\nown one\n这是一个没有空格的段落"), (2, "own two\nAll rights reserved.\nown three\n这是一个没有空格的段落"), (3, " And ornd.\nAnd ornd.\nown four"), (4, "All rights reserved.")]
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "own two\nown three", 3: " And ornd.\nown four"}
+
+
+def test_single_lines_against_brute_force(spark):
+    rng = random.Random(3)
+    docs = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "", f"own {i} {rng.random()}"]) for _ in range(rng.randrange(9)))) for i in range(25)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least_words=1).collect()}
+    for d, gone in deleted_by_hand(docs, 1).items():
+        assert {i for r in got[d]._runs_deleted for i in range(r.start, r.start + r.length)} == gone, d
