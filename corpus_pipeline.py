@@ -1,6 +1,6 @@
 """A corpus from raw documents to packed training sequences.
 
-Toxic documents and those in no language go, repeated line runs lose their later copies, one document of each class of
+Toxic documents and those that score too low for every language go, repeated line runs lose their later copies, one document of each class of
 near copies stays, and what is left is packed. Every stage but the last keeps the columns of documents.
 """
 
@@ -27,9 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (null and empty ones, too) have no language and go; unsure answers stay."""
+    """Documents without any letter (null and empty ones, too) have no language and go, and so do those whose best
+    language scores less than held-out rows that are answered right."""
     model = langid.train_language_model(docs)
-    return docs.where(langid.language_of(model, docs)(F.col("text"))["lang"] != langid.UNDETERMINED)
+    found = langid.language_of(model, docs)(F.col("text"))
+    return docs.where((found["lang"] != langid.UNDETERMINED) & (found["score"] >= langid.least_score(model, docs)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ TEXTS_PER_LANGUAGE, MOST_LANGUAGES = 600, 200
 #: A runner-up with more than this share of the winner's weight makes an answer ambiguous.
 AMBIGUOUS = 0.5
 UNDETERMINED = "und"
+#: A text of a lower score is in no known language, unless more than this share of right held-out answers scores so low.
+LEAST_SCORE, CLEAN_LOSS = 0.98, 0.001
 
 
 @functools.lru_cache(maxsize=1)
@@ -156,6 +158,26 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     return map_batches(kept, kernel, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def least_score(model: LanguageModel, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score below which a text is in no known language: LEAST_SCORE, or as much lower, in steps of 0.001, as keeps
+    all but CLEAN_LOSS of the held-out rows that the model answers right.
+
+    All held-out rows with text and language count, in a histogram of at most 2,002 rows. Without any the bound is
+    LEAST_SCORE.
+    """
+    found = F.col("found")
+    held = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 == 0))
+    held = held.select(F.col(lang_col).cast("string").alias("lang"), language_of(model, df)(F.col(text_col).cast("string")).alias("found"))
+    counts = held.groupBy((found["lang"] == F.col("lang")).alias("right"), F.floor(found["score"] * 1000).cast("int").alias("bin")).count().collect()
+    bins = {r["bin"]: r["count"] for r in counts if r["right"]}
+    spare, top = CLEAN_LOSS * sum(bins.values()), round(LEAST_SCORE * 1000)
+    for b in sorted(bins):
+        spare -= bins[b]
+        if spare < 0:
+            return min(b, top) / 1000
+    return top / 1000
+
+
 def language_of(model: LanguageModel, df: DataFrame):
     """A column function from text to struct<lang, score, ambiguous>, for filters that keep all other columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)

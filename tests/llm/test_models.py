@@ -88,3 +88,20 @@ def test_toxicity_edges(spark):
     assert blank.weights == {}
     held = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.train_toxicity_model(docs, held).weights == model.weights
+
+
+def test_pipeline_drops_what_is_in_no_language(spark, documents):
+    import base64
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    letters = "".join(map(chr, range(97, 123)))
+    junk = ["".join(rng.choice(letters + "   ") for _ in range(n)) for n in (20, 100, 500) for _ in range(20)]
+    junk += [base64.b64encode(rng.randbytes(n)).decode() for n in (20, 100, 500) for _ in range(20)] + [rng.randbytes(200).hex() for _ in range(20)]
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate([*junk, "12 !?", "", None])], "doc_id long, text string")
+    docs = documents.select("doc_id", "text", "lang").unionByName(planted, allowMissingColumns=True)
+    kept = corpus_pipeline.drop_no_language(spark, docs, DOCS)
+    left = {bool(r.junk): r["count"] for r in kept.groupBy((F.col("doc_id") >= 10**9).alias("junk")).count().collect()}
+    assert left[False] >= 0.995 * documents.count() and left.get(True, 0) <= 0.05 * len(junk)
