@@ -128,3 +128,18 @@ def test_product_grids(spark):
     rows = [(1, 0, "Shoe", "heading", 1, "/b[1]/h1[1]", None), (1, 1, "Fine shoe for $90", "paragraph", 0, "/b[1]/p[1]", None)] + [(1, 2 + i, f"Other {i} $5{i}", "paragraph", 0, f"/b[1]/ul[1]/li[{i}]/p[1]", "/x") for i in range(1, 5)]
     b = spark.createDataFrame(rows, "page_id long, pos int, text string, kind string, level int, xpath string, href string")
     assert sorted(r.pos for r in assemble.prune_product(b).collect()) == [0, 1]
+
+
+def test_all_edge_types(spark):
+    secs = spark.createDataFrame([("p0", "p", 0, None), ("p1", "p", 1, 0), ("q0", "q", 0, None), ("q1", "q", 1, None), ("q2", "q", 2, None)], "id string, page string, section int, parent int")
+    links = spark.createDataFrame([("p", "q", "see q")], "source string, target string, anchor string")
+    spec = spark.createDataFrame([("q", 1.0)], "target string, specificity double")
+    mentions = spark.createDataFrame([("p0", "e"), ("q0", "e"), ("q2", "e")], "id string, entity string")
+    own = spark.createDataFrame([("p1", "q")], "id string, target string")
+    parents = spark.createDataFrame([("q", "p"), ("p", None)], "page string, parent string")
+    got = {(r.source, r.target, r.reason): r.weight for r in site.section_edges(secs, links, spec, mentions, (), own, parents, 4, True).collect()}
+    q = ["q0", "q1", "q2"]
+    assert {k: w for k, w in got.items() if k[2] == "link"} == {(a, b, "link"): w for a, w in (("p0", 0.35), ("p1", 1.0)) for b in q}
+    assert {k[:2] for k in got if k[2] == "back-link"} == {(a, b) for a in q for b in ("p0", "p1")}
+    assert {k[:2]: w for k, w in got.items() if k[2] == "url-parent"} == {(a, b): 0.5 for a in q for b in ("p0", "p1")}
+    assert {k[:2] for k in got if k[2] == "mention"} == {x for a in ("p0", "q0", "q2") for x in ((a, "entity:e"), ("entity:e", a))}
