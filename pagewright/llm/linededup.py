@@ -1,14 +1,16 @@
 """Line deduplication by a distributed suffix array over line ids.
 
-Lines get ids by their order; prefix doubling then ranks every position by the 2 and 4 lines that start there: each
-round sorts the distinct pairs of ranks and numbers them by prefix sums over the sorted ranges. Ranks of all positions
-to a depth of 2^k lines are the suffix array to that depth; positions of equal rank are its LCP interval. An interval of
-any depth m is named by two overlapping ranks, (rank at i, rank at i + m - 2^k).
-
-A repeated run counts from LEAST_WORDS words on. Every such run is the union of its shortest parts of that many words, at
-each of its lines forwards or backwards, which have at most LEAST_WORDS lines; deeper order changes no decision, so the
-doubling ends there. In each part's interval the first occurrence, by doc_id and line, stays, and later copies are
-deleted; adjoining deletions are the maximal repeated runs.
+Lines get ids by their order; prefix doubling then ranks every position by the 2, 4, 8, ... lines that start there: each
+round sorts the distinct pairs of ranks that occur more than once and numbers them by prefix sums over the sorted ranges.
+Positions whose 2^k lines occur only once leave the doubling; it ends when none is left or 2^k lines must hold more than
+LEAST_WORDS words. Positions of equal rank are an LCP interval of 2^k lines; an interval of any depth m is named by two
+overlapping ranks, (rank at i, rank at i + m - 2^k).
+
+A run of lines counts from LEAST_WORDS words on, over however many lines, and a line of any length from OFTEN occurrences in
+the table on (boilerplate). Every such run is the union of its shortest parts of that many words, at each of its lines
+forwards or backwards. In each part's interval the first occurrence, by doc_id and line, stays, and later copies are
+deleted. Parts whose copies lie at one distance in one document join to that pair's maximal common run, whose length is
+their longest common prefix; adjoining deletions of a document are its deleted runs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql.types import StructType
 
 from pagewright.llm.runtime import FEW, broadcast_if_small, drop_staged, map_batches, slices, staged
 
-LEAST_WORDS = 4
+#: A repeated run counts from so many words on; a line from so many occurrences on, whatever its length.
+LEAST_WORDS, OFTEN = 25, 8
 DELETED = "array<struct<start:int,length:int>>"
+COPIES = "array<struct<start:int,length:int,doc:bigint,line:int>>"
 PLACE = ("doc", "version", "line")
 
 
@@ -36,6 +40,11 @@ def text_lines(text: str | None) -> list[bytes]:
     return [x.strip() for x in text.encode().split(b"\n")] if text else []
 
 
+def words_of(line: bytes) -> int:
+    """Words by white space, of which a long one counts once more for every twelve bytes (scripts without spaces)."""
+    return sum(1 + len(w) // 12 for w in line.split())
+
+
 def version_of(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode()) >> 1
 
@@ -52,7 +61,7 @@ def positions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             versions += [version_of(text)] * len(found)
             lines += range(len(found))
             keys += [hashlib.blake2b(x, digest_size=16).digest() for x in found]
-            words += [len(x.split()) for x in found]
+            words += map(words_of, found)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(versions, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(words, pa.int32())], ["doc", "version", "line", "key", "words"])
 
     kept = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
@@ -102,31 +111,42 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield rest.combine_chunks()
 
 
-def ranks(lines: DataFrame, depth: int) -> DataFrame:
-    """(doc, version, line, words, r0, r1, ...) of the positions whose line occurs again; rk ranks them by 2^k lines.
+def ranks(lines: DataFrame, depth: int, often: int | None = None) -> DataFrame:
+    """(doc, version, line, words, often, r0, r1, ...) of the positions whose line occurs again; rk ranks them by 2^k lines.
 
-    A position at which fewer than 2^k repeated lines follow on each other has a rank of what there is.
+    rk is null where these lines occur once or fewer than 2^k lines follow on each other. often: the line occurs at least
+    so many times.
     """
-    repeated = lines.groupBy("key").count().where("count > 1").select("key")
-    at = staged(lines.join(broadcast_if_small(staged(numbered(repeated, "key"), "line-ids")), "key").select(*PLACE, "words", F.col("rank").alias("r0")), "positions")
+    repeated = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    named = staged(numbered(repeated, "key"), "line-ids")
+    flag = (F.col("n") >= often) if often else F.lit(False)
+    at = staged(lines.join(broadcast_if_small(named), "key").select(*PLACE, "words", flag.alias("often"), F.col("rank").alias("r0")), "positions")
     k = 0
     while 2 << k <= depth:
         ahead = Window.partitionBy("doc", "version").orderBy("line").rangeBetween(1 << k, 1 << k)
-        pairs = at.select("*", F.col(f"r{k}").alias("a"), F.coalesce(F.first(f"r{k}").over(ahead), F.lit(0)).alias("b"))
-        pairs = staged(pairs, "pairs")
-        order = staged(numbered(pairs.select("a", "b").distinct(), "a", "b"), "pair-ids")
+        pairs = staged(at.select("*", F.col(f"r{k}").alias("a"), F.first(f"r{k}").over(ahead).alias("b")), "pairs")
+        again = pairs.where("a is not null and b is not null").groupBy("a", "b").count().where("count > 1").select("a", "b")
+        order = staged(numbered(again, "a", "b"), "pair-ids")
+        if not order.head(1):
+            drop_staged(pairs, order)
+            break
         before, k = at, k + 1
-        at = staged(pairs.join(broadcast_if_small(order), ["a", "b"]).select(*before.columns, F.col("rank").alias(f"r{k}")), "positions")
+        named = pairs.where("a is not null and b is not null").join(broadcast_if_small(order), ["a", "b"], "left").select(*before.columns, F.col("rank").alias(f"r{k}"))
+        at = staged(named.unionByName(pairs.where("a is null or b is null").select(*before.columns, F.lit(None).cast("long").alias(f"r{k}"))), "positions")
         drop_staged(before, pairs, order)
     return at
 
 
 def parts(rows: pa.Table, least: int) -> pa.RecordBatch | None:
-    """Shortest runs of at least `least` words, from each line forwards and backwards: (m, a, b, doc, version, line)."""
-    doc, version, line, words = (rows[c].to_numpy() for c in ("doc", "version", "line", "words"))
+    """The parts of one document's repeated lines that occur again: (m, a, b, doc, version, line).
+
+    A part is a shortest run of at least `least` words, from each line forwards and backwards, or a single frequent line.
+    """
+    doc, version, line, words, often = (rows[c].to_numpy(zero_copy_only=False) for c in ("doc", "version", "line", "words", "often"))
+    r = np.stack([rows[c].fill_null(0).to_numpy() for c in rows.column_names if c[0] == "r" and c[1:].isdigit()])
     fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (line[1:] != line[:-1])])
-    rows = rows.filter(pa.array(fresh))  # repeated rows of a document are one
-    doc, version, line, words = doc[fresh], version[fresh], line[fresh], words[fresh].astype(np.int64)
+    doc, version, line, often, r = doc[fresh], version[fresh], line[fresh], often[fresh], r[:, fresh]  # repeated rows of a document are one
+    words = words[fresh].astype(np.int64)
     n = len(doc)
     starts = np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (line[1:] != line[:-1] + 1)])
     begin = np.flatnonzero(starts)[np.cumsum(starts) - 1]
@@ -137,30 +157,44 @@ def parts(rows: pa.Table, least: int) -> pa.RecordBatch | None:
     last = np.searchsorted(upto, before + least, "left")
     first = np.searchsorted(before, upto - least, "right") - 1
     forwards, backwards = last <= end, first >= begin
-    s = np.concatenate([i[forwards], first[backwards]])
-    m = np.concatenate([last[forwards] - i[forwards], i[backwards] - first[backwards]]) + 1
-    if not len(s):
-        return None
-    s, m = np.unique(np.stack([s, m]), axis=1)
+    s = np.concatenate([i[forwards], first[backwards], i[often]])
+    m = np.concatenate([last[forwards] - i[forwards], i[backwards] - first[backwards], np.zeros(int(often.sum()), np.int64)]) + 1
     k = np.floor(np.log2(m)).astype(int)
-    r = np.stack([rows[c].to_numpy() for c in rows.column_names if c[0] == "r" and c[1:].isdigit()])
-    return pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(r[k, s]), pa.array(r[k, s + m - (1 << k)]), pa.array(doc[s]), pa.array(version[s]), pa.array(line[s])], ["m", "a", "b", *PLACE])
+    s, m, k = (x[k < len(r)] for x in (s, m, k))  # a longer part has a piece that occurs once
+    a, b = r[k, s], r[k, s + m - (1 << k)]
+    again = (a > 0) & (b > 0)
+    if not again.any():
+        return None
+    s, m, a, b = np.unique(np.stack([s[again], m[again], a[again], b[again]]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(a), pa.array(b), pa.array(doc[s]), pa.array(version[s]), pa.array(line[s])], ["m", "a", "b", *PLACE])
+
+
+def _joined(group: np.ndarray, start: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and ends of the runs that overlapping or adjoining spans of one group make; rows are sorted by both."""
+    wide = int(start.max()) + int(m.max()) + 2
+    shift = group.astype(np.int64) * wide
+    reach = np.maximum.accumulate(start + m + shift)
+    fresh = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+    runs = np.flatnonzero(fresh)
+    return runs, reach[np.append(runs[1:], len(start)) - 1] - shift[runs]
 
 
 def merged(rows: pa.Table) -> pa.RecordBatch:
-    """(doc, version, starts, ends): overlapping and adjoining deleted parts of each document as maximal runs."""
-    doc, version, line, m = (rows[c].to_numpy() for c in ("doc", "version", "line", "m"))
+    """(doc, version, starts, ends, copies): the deleted runs of each document, and its maximal runs in common with an
+    earlier place each (start, length, doc, line)."""
+    doc, version, line, m, kdoc, kversion, kline = (rows[c].to_numpy() for c in ("doc", "version", "line", "m", "kdoc", "kversion", "kline"))
+    line, kline = line.astype(np.int64), kline.astype(np.int64)
     new_doc = np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])])
     number = np.cumsum(new_doc) - 1
-    wide = int(line.max()) + int(m.max()) + 2
-    start = line.astype(np.int64) + number * wide
-    reach = np.maximum.accumulate(start + m)
-    new_run = np.concatenate([[True], start[1:] > reach[:-1]]) | new_doc
-    runs = np.flatnonzero(new_run)
-    ends = reach[np.append(runs[1:], len(doc)) - 1] - number[runs] * wide
-    cuts = np.concatenate([np.flatnonzero(new_doc[runs]), [len(runs)]]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (line[runs], ends)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[new_doc]), pa.array(version[new_doc]), *lists], ["doc", "version", "starts", "ends"])
+    runs, ends = _joined(number, line, m)
+    lists = lambda owner, x: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(number[-1] + 2)).astype(np.int32)), x)
+    order = np.lexsort((line, line - kline, kversion, kdoc, number))
+    same = np.stack([number, kdoc, kversion, line - kline])[:, order]
+    pair = np.cumsum(np.concatenate([[True], (same[:, 1:] != same[:, :-1]).any(0)])) - 1
+    first, end = _joined(pair, line[order], m[order])
+    at = order[first]
+    copies = pa.StructArray.from_arrays([pa.array(line[at].astype(np.int32)), pa.array((end - line[at]).astype(np.int32)), pa.array(kdoc[at]), pa.array(kline[at].astype(np.int32))], ["start", "length", "doc", "line"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[new_doc]), pa.array(version[new_doc]), lists(number[runs], pa.array(line[runs].astype(np.int32))), lists(number[runs], pa.array(ends.astype(np.int32))), lists(number[at], copies)], ["doc", "version", "starts", "ends", "copies"])
 
 
 def _line_count(text):
@@ -168,19 +202,20 @@ def _line_count(text):
     return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, r"[ \t\r\x0b\f]+", "")) > 0)), F.lit(0))
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc, version, starts, ends): for each document with later copies, the maximal runs of its non-blank lines to delete."""
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, often: int | None = OFTEN) -> DataFrame:
+    """(doc, version, starts, ends, copies): for each document with later copies, the runs of its non-blank lines to delete,
+    and the maximal runs that it shares with an earlier place: array<struct<start,length,doc,line>>."""
     lines = staged(positions(df, id_col, text_col), "lines")
-    at = ranks(lines, least_words)
-    columns = [c for c in at.columns if c[0] == "r"]
-    found = at.select(*PLACE, "words", *columns).repartition("doc", "version").sortWithinPartitions(*PLACE)
+    at = ranks(lines, least_words, often)
+    columns = [c for c in at.columns if c[0] == "r" and c[1:].isdigit()]
+    found = at.select(*PLACE, "words", "often", *columns).repartition("doc", "version").sortWithinPartitions(*PLACE)
     found = found.mapInArrow(lambda batches: (x for rows in whole_groups(batches, PLACE[:2]) if (x := parts(rows, least_words)) is not None), "m int, a long, b long, doc long, version long, line int")
     found = staged(found, "parts")
     key = ["m", "a", "b"]
     firsts = staged(found.groupBy(*key).agg(F.min(F.struct(*PLACE)).alias("kept"), F.max(F.struct(*PLACE)).alias("last")).where("kept <> last").select(*key, "kept"), "first-copies")
-    later = found.join(broadcast_if_small(firsts), key).where(F.struct(*PLACE) != F.col("kept")).select(*PLACE, "m")
+    later = found.join(broadcast_if_small(firsts), key).where(F.struct(*PLACE) != F.col("kept")).select(*PLACE, "m", *(F.col(f"kept.{c}").alias("k" + c) for c in PLACE))
     out = later.repartition("doc", "version").sortWithinPartitions(*PLACE)
-    out = staged(out.mapInArrow(lambda batches: map(merged, whole_groups(batches, PLACE[:2])), "doc long, version long, starts array<int>, ends array<int>"), "repeated-runs")
+    out = staged(out.mapInArrow(lambda batches: map(merged, whole_groups(batches, PLACE[:2])), f"doc long, version long, starts array<int>, ends array<int>, copies {COPIES}"), "repeated-runs")
     drop_staged(lines, at, found, firsts)
     return out
 
@@ -203,24 +238,27 @@ def without_runs(text: str | None, runs: list[dict] | None) -> tuple[str | None,
     return "\n".join(kept), total, int(gone.sum()), [{"start": a, "length": b - a} for a, b in zip(mine["starts"], mine["ends"], strict=True)]
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, often: int | None = OFTEN) -> DataFrame:
     """df with two new columns: `_runs_deleted` (array<struct<start,length>> over non-blank lines, from 0) and
     `_lines` (their number), and the text column without the later copies of repeated line runs.
 
+    A run counts from least_words words on, a single line also from `often` occurrences on (None: never for that reason).
     Lines count as equal without ASCII white space at their ends; blank lines neither match nor part a run, and stay. The
     first copy, by id and line, stays, also within one document. A null text stays null, an empty one empty. Rows of one
     id and text are one document and all lose the same lines; rows of one id with different texts are documents in the
-    order of a hash. Rows without id take no part and stay as they are. An empty table gives an empty table. Other columns
-    pass through.
+    order of a hash. Rows without id take no part and stay as they are. An empty table gives an empty table. Columns of
+    df that have the names of the new ones are replaced; others pass through.
     """
-    runs = repeated_runs(df, id_col, text_col, least_words).groupBy("doc").agg(F.collect_list(F.struct("version", "starts", "ends")).alias("_runs"))
-    size = runs.select(F.count("*"), F.sum(F.aggregate("_runs", F.lit(0), lambda n, r: n + F.size(r["starts"])))).first()
-    runs = runs.withColumnRenamed("doc", "_doc")
-    joined = df.join(F.broadcast(runs) if size[0] <= FEW and (size[1] or 0) <= 5 * FEW else runs, F.col(id_col).cast("long") == F.col("_doc"), "left")
+    df = df.drop("_runs_deleted", "_lines")
+    doc, held = ("_" * (1 + max(map(len, df.columns))) + c for c in "dr")  # longer than any name of df
+    runs = repeated_runs(df, id_col, text_col, least_words, often).groupBy("doc").agg(F.collect_list(F.struct("version", "starts", "ends")).alias(held))
+    size = runs.select(F.count("*"), F.sum(F.aggregate(held, F.lit(0), lambda n, r: n + F.size(r["starts"])))).first()
+    runs = runs.withColumnRenamed("doc", doc)
+    joined = df.join(F.broadcast(runs) if size[0] <= FEW and (size[1] or 0) <= 5 * FEW else runs, F.col(id_col).cast("long") == F.col(doc), "left")
 
     # Only documents with deletions go through Python, text by text; the others stay in the JVM.
-    plain = joined.where("_runs is null").select(*df.columns, F.lit(None).cast(DELETED).alias("_runs_deleted"), _line_count(F.col(text_col)).alias("_lines"))
-    found = joined.where("_runs is not null").select(*df.columns, "_runs")
+    plain = joined.where(F.col(held).isNull()).select(*df.columns, F.lit(None).cast(DELETED).alias("_runs_deleted"), _line_count(F.col(text_col)).alias("_lines"))
+    found = joined.where(F.col(held).isNotNull()).select(*df.columns, held)
     schema = StructType([*df.schema.fields, *plain.schema.fields[-2:]])
 
     def edit(batches):

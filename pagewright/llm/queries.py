@@ -83,16 +83,17 @@ ORACLE_SQL: dict[str, str] = {
                    FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-    "op7_line_dedup": """
+    # Equal lines in pairs; pairs at one distance of two documents that follow on each other are their maximal common runs.
+    "op7_line_dedup": f"""
         WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL AND text <> ''),
              l AS (SELECT doc_id, place, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM raw),
              n AS (SELECT *, CASE WHEN body <> '' THEN row_number() OVER (PARTITION BY doc_id, body <> '' ORDER BY place) - 1 END AS ln,
-                          len(string_split_regex(body, '\\s+')) AS words FROM l),
-             w AS (SELECT a.doc_id, a.ln, m.m, string_agg(b.body, chr(10) ORDER BY b.ln) AS body
-                   FROM n a CROSS JOIN range(1, 5) AS m(m) JOIN n b ON a.doc_id = b.doc_id AND b.ln >= a.ln AND b.ln < a.ln + m.m
-                   WHERE a.ln IS NOT NULL GROUP BY a.doc_id, a.ln, m.m HAVING count(*) = m.m AND sum(b.words) >= 4),
-             f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, ln) AS copy FROM w),
-             gone AS (SELECT DISTINCT doc_id, ln + i.i AS ln FROM f CROSS JOIN range(0, 4) AS i(i) WHERE copy > 1 AND i.i < f.m),
+                          list_sum(list_transform(string_split_regex(body, '\\s+'), lambda w: 1 + strlen(w) // 12)) AS words FROM l),
+             pairs AS (SELECT a.doc_id, a.ln, a.words, b.doc_id AS other, a.ln - b.ln AS apart FROM n a JOIN n b ON a.body = b.body AND (b.doc_id, b.ln) < (a.doc_id, a.ln) WHERE a.ln IS NOT NULL AND b.ln IS NOT NULL),
+             islands AS (SELECT *, ln - row_number() OVER (PARTITION BY doc_id, other, apart ORDER BY ln) AS island FROM pairs),
+             common AS (SELECT doc_id, min(ln) AS a, max(ln) AS b FROM islands GROUP BY doc_id, other, apart, island HAVING sum(words) >= {linededup.LEAST_WORDS}),
+             copies AS (SELECT doc_id, ln, count(*) OVER (PARTITION BY body) AS n, row_number() OVER (PARTITION BY body ORDER BY doc_id, ln) AS copy FROM n WHERE ln IS NOT NULL),
+             gone AS (SELECT doc_id, unnest(range(a, b + 1)) AS ln FROM common UNION SELECT doc_id, ln FROM copies WHERE n >= {linededup.OFTEN} AND copy > 1),
              runs AS (SELECT doc_id, min(ln) AS start, count(*) AS length FROM (SELECT doc_id, ln, ln - row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS g FROM gone) GROUP BY doc_id, g),
              said AS (SELECT doc_id, CAST(sum(length) AS INTEGER) AS n_deleted, string_agg(start || '+' || length, ' ' ORDER BY start) AS deleted_runs FROM runs GROUP BY doc_id),
              body AS (SELECT n.doc_id, CAST(count(n.ln) AS INTEGER) AS n_lines, coalesce(string_agg(n.line, chr(10) ORDER BY n.place) FILTER (gone.ln IS NULL), '') AS text

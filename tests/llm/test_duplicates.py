@@ -1,6 +1,7 @@
 """Line deduplication, near duplicates and the pipeline against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,40 +12,54 @@ from pagewright.llm import linededup, neardup
 SMALL = "/root/testdata/sf0.001"
 
 
-def deleted_by_hand(docs, least):
-    """doc -> deleted non-blank lines: covered by a run of `least` words that occurs before."""
+def deleted_by_hand(docs, least, often=None):
+    """doc -> deleted non-blank lines: in a run of `least` words that occurs before, or a later copy of a frequent line."""
     lines = {d: [x.strip() for x in (t or "").split("\n") if x.strip()] for d, t in docs}
     gone, seen = {d: set() for d in lines}, {}
+    count = Counter(x for v in lines.values() for x in v)
     for d in sorted(lines):
         x = lines[d]
         for i in range(len(x)):
             for j in range(i + 1, len(x) + 1):
-                if sum(len(y.split()) for y in x[i:j]) >= least:
+                if sum(linededup.words_of(y.encode()) for y in x[i:j]) >= least or (often and j == i + 1 and count[x[i]] >= often):
                     if tuple(x[i:j]) in seen and seen[tuple(x[i:j])] < (d, i):
                         gone[d] |= set(range(i, j))
                     seen.setdefault(tuple(x[i:j]), (d, i))
     return gone
 
 
-@pytest.mark.parametrize("seed, least", [(0, 10), (1, 10), (2, 4)])
-def test_lines_against_brute_force(spark, seed, least):
+@pytest.mark.parametrize("seed, least, often", [(0, 10, None), (1, 25, 8), (2, 4, None), (3, 1, None), (4, 7, 5)])
+def test_lines_against_brute_force(spark, seed, least, often):
     rng = random.Random(seed)
     pool = ["a", "b b", "c c c", "d d d d", "one two three four five six seven eight nine ten eleven", "x y z w v"]
     docs = [(i, "\n".join(rng.choice([*pool, "", f"own {i} {rng.random()}"]) for _ in range(rng.randrange(14)))) for i in range(25)]
-    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least_words=least).collect()}
-    for d, gone in deleted_by_hand(docs, least).items():
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least_words=least, often=often).collect()}
+    for d, gone in deleted_by_hand(docs, least, often).items():
         mine = {i for r in got[d]._runs_deleted for i in range(r.start, r.start + r.length)}
         assert mine == gone, d
         kept = [x for x in dict(docs)[d].split("\n") if x]
         assert [x for x in got[d].text.split("\n") if x] == [x for i, x in enumerate(kept) if i not in gone]
 
 
+def test_maximal_runs_of_any_length(spark, monkeypatch):
+    """Planted runs of 1 to 50 one-word lines are found whole, with their earlier place, if they hold enough words."""
+    monkeypatch.setattr(linededup, "broadcast_if_small", lambda df: df)
+    docs, planted = [(0, "\n".join(f"s{i}" for i in range(2000)))], {}
+    for n in range(1, 51):
+        at = 37 * n
+        docs.append((n, "\n".join([f"own{n}", *(f"s{i}" for i in range(at, at + n)), f"end{n}", f"s{at + n + 3}"])))
+        planted[n] = (1, n, 0, at)
+    runs = linededup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least_words=20, often=None).collect()
+    assert {r.doc: [tuple(c) for c in r["copies"]] for r in runs} == {n: [p] for n, p in planted.items() if n >= 20}
+    assert {r.doc: (r.starts, r.ends) for r in runs} == {n: ([1], [1 + n]) for n in planted if n >= 20}
+
+
 def test_line_edges(spark):
-    long = "these are more than ten words in one long line of text"
+    long = "these are more than ten words in one long line of text" + " and more" * 8
     rows = [(1, long, "k"), (2, f" {long}\t\n\nown", "k"), (3, None, None), (4, "", "k"), (None, long, "k"), (1, long, "k"), (5, "\n".join([long] * 4000), "k"), (6, "short\nline\nshort\nline\n", "k"), (7, "line\nline", "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("line", F.lit(1)).withColumn("words", F.lit(2)).withColumn("doc", F.lit(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("line", F.lit(1)).withColumn("words", F.lit(2)).withColumn("doc", F.lit(3)).withColumn("_doc", F.lit(4)).withColumn("_runs", F.lit(5)).withColumn("_lines", F.lit(6)).withColumn("_runs_deleted", F.lit(7)).withColumn("often", F.lit(8))
     out = linededup.dedup_lines(df)
-    assert out.columns[:6] == df.columns
+    assert out.columns == [*(c for c in df.columns if c not in ("_lines", "_runs_deleted")), "_runs_deleted", "_lines"]
     got = sorted(out.collect(), key=lambda r: (r.doc_id or 0))
     text = lambda d: [r.text for r in got if r.doc_id == d]
     assert text(1) == [long, long] and text(2) == ["\nown"] and text(3) == [None] and text(4) == [""] and text(None) == [long] and text(5) == [""] and text(6) == ["short\nline\nshort\nline\n"] and text(7) == ["line\nline"]
@@ -180,17 +195,10 @@ def test_stages_take_empty_and_odd_tables(spark):
             assert stage(spark, df, SMALL).count() >= 0
 
 
-def test_pipeline_deletes_short_repeated_lines(spark):
+def test_pipeline_deletes_repeated_passages_and_boilerplate(spark):
     import corpus_pipeline
 
-    rows = [(1, "All rights reserved.\nown one\n这是一个没有空格的段落"), (2, "own two\nAll rights reserved.\nown three\n这是一个没有空格的段落"), (3, " And ornd.\nAnd ornd.\nown four"), (4, "All rights reserved.")]
+    long = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, f"All rights reserved.\nown one\n{long}"), (2, f"own two\nAll rights reserved.\nown three\n{long}"), (3, long)] + [(i, f"All rights reserved.\nown {i}") for i in range(4, 12)]
     got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
-    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "own two\nown three", 3: " And ornd.\nown four"}
-
-
-def test_single_lines_against_brute_force(spark):
-    rng = random.Random(3)
-    docs = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "", f"own {i} {rng.random()}"]) for _ in range(rng.randrange(9)))) for i in range(25)]
-    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least_words=1).collect()}
-    for d, gone in deleted_by_hand(docs, 1).items():
-        assert {i for r in got[d]._runs_deleted for i in range(r.start, r.start + r.length)} == gone, d
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "own two\nown three"} | {i: f"own {i}" for i in range(4, 12)}
