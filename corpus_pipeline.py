@@ -14,8 +14,6 @@ from pagewright.llm import langid, linededup, neardup, packing, runtime, toxicit
 
 #: A document goes from this probability of being toxic on.
 TOXIC = 0.5
-#: A repeated line counts from this number of words on: every line that is not blank.
-LEAST_LINE_WORDS = 1
 #: The stages have no common SQL form: learned models decide the first two.
 ORACLE_SQL = None
 
@@ -35,9 +33,9 @@ def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated lines of any length go from the texts; documents that are nothing but such copies go as a
-    whole."""
-    out = linededup.dedup_lines(docs, least_words=LEAST_LINE_WORDS)
+    """Later copies of repeated runs and of frequent lines go from the texts; documents that are nothing but such copies
+    go as a whole."""
+    out = linededup.dedup_lines(docs)
     gone = F.aggregate("_runs_deleted", F.lit(0), lambda n, r: n + r["length"])
     out = out.where((gone == 0) | (gone < F.col("_lines")))
     return out.select(*(F.when(gone > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
