@@ -1,13 +1,15 @@
 """Progressive JPEG: coefficient arrays to scans and back, and coefficient arrays to RGB.
 
 Coefficients are int16 arrays of one row per block in zigzag order, a component's blocks row by row. Decoding accumulates
-the scans, spectral selection and successive approximation alike, into such arrays. Scans in which every coefficient of
-the band is non-zero and alike coded have a fixed layout, which is tested and read as a whole; others go bit by bit.
+the scans, spectral selection and successive approximation alike, into such arrays. DC scans look up the symbol at every
+bit and follow the chain of code lengths. AC scans in which every coefficient of the band is non-zero and alike coded have
+a fixed layout, which is tested and read as a whole; others go bit by bit.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -136,6 +138,49 @@ def _own_blocks(c: Component) -> np.ndarray:
     return (np.arange(c.own_high)[:, None] * c.wide + np.arange(c.own_wide)).ravel()
 
 
+@functools.lru_cache(maxsize=256)
+def _places(shape: tuple) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """_scan_blocks for components of (own width, own height, wide, high, h, v)."""
+    if len(shape) == 1:
+        own_wide, own_high, wide, *_ = shape[0]
+        blocks = (np.arange(own_high)[:, None] * wide + np.arange(own_wide)).ravel()
+        return blocks, [np.arange(len(blocks))], 1
+    _, _, wide, high, h, v = shape[0]
+    y, x = (a.ravel() for a in np.meshgrid(np.arange(high // v), np.arange(wide // h), indexing="ij"))
+    steps = [(i, (y * v + j) * wide + x * h + k) for i, (_, _, wide, _, h, v) in enumerate(shape) for j in range(v) for k in range(h)]
+    owner = np.tile([i for i, _ in steps], len(y))
+    return np.stack([at for _, at in steps], 1).ravel(), [np.flatnonzero(owner == i) for i in range(len(shape))], len(steps)
+
+
+def _scan_blocks(frame: Frame, chosen: list[int]) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Block of each step of a scan, the steps of each component, and steps in a unit: units of all components in turn, or
+    one's own blocks."""
+    shape = tuple((c.own_wide, c.own_high, c.wide, c.high, c.h, c.v) for c in (frame.components[i] for i in chosen))
+    return (_places if shape[0][2] * shape[0][3] <= 1 << 14 else _places.__wrapped__)(shape)
+
+
+def _dc_values(frame: Frame, order: tuple) -> np.ndarray:
+    out = np.empty(len(order[0]), np.int64)
+    for c, steps in zip(frame.components, order[1], strict=True):
+        out[steps] = c.coefficients[order[0][steps], 0]
+    return out
+
+
+def _dc_first(steps: list[np.ndarray], values: np.ndarray, table: dict[int, tuple[int, int]]) -> np.ndarray:
+    """The differences of each component's values, coded one after the other."""
+    d = np.empty_like(values)
+    for own in steps:
+        d[own] = np.diff(values[own], prepend=0)
+    n = np.frexp(np.abs(d).astype(float))[1]  # bits of the size
+    code, length = np.zeros(12, np.int64), np.zeros(12, np.int64)
+    for symbol, (c, k) in table.items():
+        code[symbol], length[symbol] = c, k
+    whole, bits = code[n] << n | (np.where(d > 0, d, d - 1) & ((1 << n) - 1)), length[n] + n
+    left = np.repeat(np.cumsum(bits), bits) - np.arange(int(bits.sum())) - 1  # bits of its step that follow each bit
+    out = (np.repeat(whole, bits) >> left & 1).astype(np.uint8)
+    return np.packbits(np.append(out, np.ones(-len(out) % 8, np.uint8)))
+
+
 def _ac_first(blocks: np.ndarray, low: int, table: dict) -> np.ndarray:
     bits = Bits()
     size = np.sign(blocks) * (np.abs(blocks) >> low)
@@ -200,25 +245,11 @@ def encode(frame: Frame, dense: bool = False) -> bytes:
     out.append(segment(0xC2, struct.pack(">BHHB", 8, frame.height, frame.width, len(frame.components)) + b"".join(bytes([i + 1, c.h << 4 | c.v, 0]) for i, c in enumerate(frame.components))))
     dc_lengths = {s: 4 for s in range(12)}
     dc = codes(dc_lengths)
-    units = frame.components[0].wide // frame.components[0].h, frame.components[0].high // frame.components[0].v
     every = list(range(len(frame.components)))
-    order = [(c, (y * c.v + j) * c.wide + x * c.h + i) for y in range(units[1]) for x in range(units[0]) for c in frame.components for j in range(c.v) for i in range(c.h)] if any(c.coefficients[:, 0].any() for c in frame.components) else None
-    out += [huffman(0, 0, dc_lengths), scan_header(every, 0, 0, 0, 0, 1)]
-    if order is None:  # all differences are zero
-        n = sum(len(c.coefficients) for c in frame.components)
-        zero = np.tile(np.array([dc[0][0] >> (3 - k) & 1 for k in range(4)], np.uint8), n)
-        out += [stuffed(np.packbits(np.append(zero, np.ones(-len(zero) % 8, np.uint8)))), scan_header(every, 0, 0, 0, 1, 0)]
-        out.append(stuffed(np.packbits(np.append(np.zeros(n, np.uint8), np.ones(-n % 8, np.uint8)))))
-    else:
-        bits, refine, last = Bits(), Bits(), {id(c): 0 for c in frame.components}
-        for c, at in order:
-            v = int(c.coefficients[at, 0])
-            d, last[id(c)] = (v >> 1) - last[id(c)], v >> 1
-            n = abs(d).bit_length()
-            bits.put(*dc[n])
-            bits.put(d if d > 0 else d - 1, n)
-            refine.put(v & 1, 1)
-        out += [stuffed(bits.done()), scan_header(every, 0, 0, 0, 1, 0), stuffed(refine.done())]
+    order = _scan_blocks(frame, every)
+    values = _dc_values(frame, order)
+    out += [huffman(0, 0, dc_lengths), scan_header(every, 0, 0, 0, 0, 1), stuffed(_dc_first(order[1], values >> 1, dc))]
+    out += [scan_header(every, 0, 0, 0, 1, 0), stuffed(np.packbits(np.append((values & 1).astype(np.uint8), np.ones(-len(values) % 8, np.uint8))))]
     if dense:
         out.append(huffman(1, 0, {0x07: 1}))
     else:
@@ -272,27 +303,68 @@ class Reader:
         return v if n and v >> (n - 1) else v - (1 << n) + 1
 
 
-def _decode_dc(reader: Reader, frame: Frame, chosen: list, restart: int, high: int, low: int) -> None:
-    last = dict.fromkeys((i for i, _, _ in chosen), 0)
-    if len(chosen) == 1:
-        places = [[(chosen[0], at)] for at in _own_blocks(frame.components[chosen[0][0]]).tolist()]
-    else:
-        c0 = frame.components[0]
-        places = [[(x, (ty * c.v + j) * c.wide + tx * c.h + k) for x in chosen for c in (frame.components[x[0]],) for j in range(c.v) for k in range(c.h)] for ty in range(c0.high // c0.v) for tx in range(c0.wide // c0.h)]
-    for unit in places:
-        for (i, table, _), at in unit:
-            c = frame.components[i].coefficients
-            if high:
-                c[at, 0] |= reader.bits(1) << low
-            else:
-                n = reader.symbol(table)
-                last[i] += reader.number(n)
-                c[at, 0] = last[i] << low
+@functools.lru_cache(maxsize=64)
+def _lookup(table: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """Longest code, and by that many bits the symbol and its code's length (0: none)."""
+    longest = max(n for (_, n), _ in table)
+    symbol, length = np.zeros(1 << longest, np.int64), np.zeros(1 << longest, np.int64)
+    for (code, n), s in table:
+        at = slice(code << (longest - n), (code + 1) << (longest - n))
+        symbol[at], length[at] = s, n
+    return longest, symbol, length
+
+
+def _dc_differences(data: np.ndarray, table: dict, count: int) -> np.ndarray:
+    """`count` coded differences: the symbol that begins at each bit, then the chain of steps from the first bit on."""
+    longest, symbol, length = _lookup(tuple(sorted(table.items())))
+    bits = np.concatenate([np.unpackbits(data), np.ones(longest + 16, np.uint8)]).astype(np.int64)
+    n = len(bits) - longest - 16
+    window = np.zeros(n + 1, np.int64)
+    for i in range(longest):
+        window = window << 1 | bits[i : i + n + 1]
+    step = (np.arange(n + 1) + length[window] + symbol[window]).tolist()
+    at, chain = 0, []
+    for _ in range(count):
+        if at >= n:
+            raise ValueError("scan ends early")
+        chain.append(at)
+        at = step[at]
+    at = np.array(chain, np.int64)
+    size, value = symbol[window[at]], np.zeros(count, np.int64)
+    if (length[window[at]] == 0).any() or size.max(initial=0) > 15:
+        raise ValueError("no such Huffman code")
+    first = at + length[window[at]]
+    for i in range(int(size.max(initial=0))):
+        value = np.where(i < size, value << 1 | bits[np.minimum(first + i, len(bits) - 1)], value)
+    return np.where((size == 0) | (value >> np.maximum(size - 1, 0) > 0), value, value - (1 << size) + 1)
+
+
+def _decode_dc(segments: list[bytes], frame: Frame, chosen: list, restart: int, high: int, low: int) -> None:
+    blocks, steps, per_unit = _scan_blocks(frame, [i for i, _, _ in chosen])
+    size = restart * per_unit or len(blocks)
+    for s, coded in zip(range(0, len(blocks), size), segments, strict=True):
+        data, n = np.frombuffer(coded, np.uint8), min(size, len(blocks) - s)
+        owned = [(frame.components[i].coefficients, t, own[(own >= s) & (own < s + n)] - s if restart else own) for (i, t, _), own in zip(chosen, steps, strict=True)]
+        if high:
+            got = np.unpackbits(data, count=n).astype(np.int16) << low
+            for c, _, own in owned:
+                c[blocks[s + own], 0] |= got[own]
+        elif all(t == chosen[0][1] for _, t, _ in chosen):
+            d = _dc_differences(data, chosen[0][1], n)
+            for c, _, own in owned:
+                c[blocks[s + own], 0] = np.cumsum(d[own]) << low
+        else:
+            reader, last, turn = Reader(coded), [0] * len(owned), np.empty(n, np.int64)
+            for k, (_, _, own) in enumerate(owned):
+                turn[own] = k
+            for at, k in enumerate(turn.tolist()):
+                last[k] += reader.number(reader.symbol(owned[k][1]))
+                owned[k][0][blocks[s + at], 0] = last[k] << low
 
 
-def _decode_ac(reader: Reader, c: Component, table: dict, first: int, last: int, high: int, low: int) -> None:
+def _decode_ac(reader: Reader, c: Component, blocks: np.ndarray, table: dict, first: int, last: int, high: int, low: int) -> None:
     skip, one = 0, 1 << low
-    for at in _own_blocks(c).tolist():
+    for at in blocks.tolist():
         block, k = c.coefficients[at].tolist(), first
 
         def correct(k, block=block):
@@ -368,7 +440,7 @@ def _dense(data: np.ndarray, c: Component, table: dict, first: int, last: int, h
 
 
 def decode(data: bytes) -> Frame:
-    """The accumulated coefficients of a progressive file (8-bit, Huffman-coded, without restart intervals)."""
+    """The accumulated coefficients of a progressive file (8-bit, Huffman-coded)."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, frame, comment, restart = 2, None, b"", 0
@@ -410,8 +482,6 @@ def decode(data: bytes) -> Frame:
         elif 0xC0 <= marker <= 0xCF:
             raise ValueError("not a progressive Huffman-coded file")
         elif marker == 0xDA:
-            if restart:
-                raise ValueError("restart intervals are not supported")
             n = body[0]
             chosen = [(body[1 + 2 * i] - 1, tables.get((0, body[2 + 2 * i] >> 4), {}), tables.get((1, body[2 + 2 * i] & 15), {})) for i in range(n)]
             first, last, approximation = body[1 + 2 * n : 4 + 2 * n]
@@ -423,17 +493,16 @@ def decode(data: bytes) -> Frame:
                     end += 2
                     continue
                 break
-            coded, at = data[at:end].replace(b"\xff\x00", b"\xff"), end
+            segments, at = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", data[at:end])], end
             if first == 0:
-                raw = np.frombuffer(coded, np.uint8)
-                blocks = sum(len(frame.components[i].coefficients) for i, _, _ in chosen)
-                if n == len(frame.components) and high and not raw[:-1].any() and len(raw) == -(-blocks // 8) and not np.unpackbits(raw, count=blocks).any():
-                    continue  # no block gets a bit
-                if n == len(frame.components) and not high and chosen[0][1].get((0, 4)) == 0 and len(raw) == -(-blocks * 4 // 8) and not np.unpackbits(raw, count=4 * blocks).any():
-                    continue  # every difference is the zero of the four-bit code 0
-                _decode_dc(Reader(coded), frame, chosen, restart, high, low)
-            elif not _dense(np.frombuffer(coded, np.uint8), frame.components[chosen[0][0]], chosen[0][2], first, last, high, low):
-                _decode_ac(Reader(coded), frame.components[chosen[0][0]], chosen[0][2], first, last, high, low)
+                _decode_dc(segments, frame, chosen, restart, high, low)
+                continue
+            c, table = frame.components[chosen[0][0]], chosen[0][2]
+            if len(segments) > 1 or not _dense(np.frombuffer(segments[0], np.uint8), c, table, first, last, high, low):
+                own = _own_blocks(c)
+                step = restart or len(own)
+                for s, coded in zip(range(0, len(own), step), segments, strict=True):
+                    _decode_ac(Reader(coded), c, own[s : s + step], table, first, last, high, low)
     for c, slot in zip(frame.components, slots, strict=True):
         c.quantisation = quantisation[slot]
     frame.comment = comment

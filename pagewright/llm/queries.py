@@ -62,7 +62,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+    return media.read_media(media.write_media(table(spark, sf_dir, "documents"))).drop("tensor_file")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_packing, op4_toxicity, op5_warc, op6_block_ann, op7_line_dedup, op8_token_files, op9_near_duplicates, op10_media)}

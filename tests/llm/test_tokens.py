@@ -122,6 +122,52 @@ def test_dense_scans_read_alike_bit_by_bit(monkeypatch):
     assert all((a.coefficients == b.coefficients).all() for a, b in zip(fast.components, slow.components, strict=True))
 
 
+def test_transform_and_upsampling_by_formula():
+    """RGB from the sums of the standard's formula, block by block, with chroma repeated over its 2 x 2 samples."""
+    rng = np.random.default_rng(5)
+    f = jpeg.Frame.blank(32, 16)
+    order = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    planes = []
+    for c in f.components:
+        c.quantisation = rng.integers(1, 9, 64)
+        c.coefficients[:] = rng.integers(-30, 31, c.coefficients.shape) * (rng.random(c.coefficients.shape) < 0.15)
+        plane = np.zeros((c.high * 8, c.wide * 8))
+        for b, row in enumerate(c.coefficients * c.quantisation):
+            for y in range(8):
+                for x in range(8):
+                    terms = (row[k] * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for k, (u, v) in enumerate(order) if row[k])
+                    plane[b // c.wide * 8 + y, b % c.wide * 8 + x] = sum(terms) / 4 + 128
+        planes.append(np.clip(np.rint(plane), 0, 255))
+    wide = [np.array([[p[y // (16 // p.shape[0]), x // (32 // p.shape[1])] for x in range(32)] for y in range(16)]) for p in planes]
+    luma, blue, red = wide[0], wide[1] - 128, wide[2] - 128
+    want = np.clip(np.rint(np.stack([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], 2)), 0, 255)
+    assert np.abs(f.rgb().astype(int) - want).max() <= 2 and (f.rgb() == want).mean() > 0.99
+
+
+def test_restart_intervals():
+    dc = {s: 4 for s in range(12)}
+    values = np.array([-77, 300, 5])
+    parts = lambda pieces: b"".join(jpeg.stuffed(p) + bytes([0xFF, 0xD0 + i]) for i, p in enumerate(pieces[:-1])) + jpeg.stuffed(pieces[-1])
+    file = b"\xff\xd8" + jpeg.segment(0xDB, b"\0" + bytes([1] * 64)) + jpeg.segment(0xC2, b"\x08\x00\x08\x00\x18\x01\x01\x11\x00") + jpeg.segment(0xDD, b"\x00\x02") + jpeg.huffman(0, 0, dc)
+    file += jpeg.scan_header([0], 0, 0, 0, 0, 1) + parts([jpeg._dc_first([np.arange(len(v))], v >> 1, jpeg.codes(dc)) for v in (values[:2], values[2:])])
+    file += jpeg.scan_header([0], 0, 0, 0, 1, 0) + parts([np.packbits(np.append(v & 1, np.ones(8 - len(v), int)).astype(np.uint8)) for v in (values[:2], values[2:])]) + b"\xff\xd9"
+    assert jpeg.decode(file).components[0].coefficients[:, 0].tolist() == values.tolist()
+
+
+def test_tensors_are_stored(spark, docs):
+    rows = media.read_media(media.write_media(docs), with_tensor=True, keep=True).collect()
+    files = {r.tensor_file for r in rows}
+    stored = {(r.doc_id, r.height, r.width, bytes(r.data)) for f in files for r in spark.read.parquet(f).collect()}
+    assert stored == {(r.doc_id, r.tensor.height, r.tensor.width, bytes(r.tensor.data)) for r in rows}
+    assert all(r.feature == media.feature(r.tensor.height, r.tensor.width, r.tensor.data) for r in rows)
+
+
+def test_a_long_text_in_one_image():
+    payload = media.padded(np.random.default_rng(1).integers(0, 256, 5_000_000).astype(np.uint8).tobytes())
+    frame, back, n = media.from_media(media.to_media(payload, 5_000_000))
+    assert back == payload and n == 5_000_000 and frame.rgb().shape == (frame.height, frame.width, 3)
+
+
 def test_transform_is_the_cosine_transform():
     frame = jpeg.Frame.blank(8, 8, ((1, 1),))
     frame.components[0].coefficients[0, 0] = 80  # flat: 80 / 8 above the middle
