@@ -21,12 +21,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagewright.llm.runtime import FEW, broadcast_if_small, drop_staged, map_batches, slices, staged
+from pagewright.llm.runtime import FEW, broadcast_if_small, drop_staged, map_batches, numbered, slices, staged
 
 #: A repeated run counts from so many words on; a line from so many occurrences on, whatever its length.
 LEAST_WORDS, OFTEN = 25, 8
@@ -68,29 +67,6 @@ def positions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(kept, kernel, "doc long, version long, line int, key binary, words int")
 
 
-def numbered(distinct: DataFrame, *by: str) -> DataFrame:
-    """The rows of a table of distinct `by` with `rank`: their place, from 1, in the order of `by`.
-
-    Sorted ranges number their rows; the ranges' sizes, a number for each, give every range its base.
-    """
-
-    def place(batches):
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at + 1, at + n + 1))], [*batch.schema.names, "part", "at"])
-            at += n
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
-    rows = staged(distinct.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(place, f"{schema}, part int, at long"), "ranks")
-    base, bases = 0, []
-    for part, n in sorted(map(tuple, rows.groupBy("part").count().collect())):  # a row per range
-        bases.append((part, base))
-        base += n
-    bases = distinct.sparkSession.createDataFrame(bases or [(0, 0)], "part int, base long")
-    return rows.join(F.broadcast(bases), "part").select(*distinct.columns, (F.col("base") + F.col("at")).alias("rank"))
-
-
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys from batches that are sorted by them."""
     rest: pa.Table | None = None

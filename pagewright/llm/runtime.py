@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,29 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def numbered(distinct: DataFrame, *by: str) -> DataFrame:
+    """The rows of a table of distinct `by` with `rank`: their place, from 1, in the order of `by`.
+
+    Sorted ranges number their rows; the ranges' sizes, a number for each, give every range its base.
+    """
+
+    def place(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at + 1, at + n + 1))], [*batch.schema.names, "part", "at"])
+            at += n
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
+    rows = staged(distinct.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(place, f"{schema}, part int, at long"), "ranks")
+    base, bases = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("part").count().collect())):  # a row per range
+        bases.append((part, base))
+        base += n
+    bases = distinct.sparkSession.createDataFrame(bases or [(0, 0)], "part int, base long")
+    return rows.join(F.broadcast(bases), "part").select(*distinct.columns, (F.col("base") + F.col("at")).alias("rank"))
+
+
 def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows that agree in the first `keys` columns, of batches sorted by these."""
     held: list[pa.RecordBatch] = []

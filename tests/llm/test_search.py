@@ -96,6 +96,21 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df, F.lit(False)).count() == 0
 
 
+def test_close_and_extreme_vectors():
+    """Double vectors that differ by less than rounding shows, and components near the ends of the range."""
+    rng = np.random.default_rng(8)
+    for x in (1 + np.outer(rng.random(2000) * 1e-8, np.ones(8)), np.eye(8)[rng.integers(0, 8, 600)] + rng.normal(size=(600, 8)) * 1e-9, rng.normal(size=(300, 8)) * 1e200, rng.normal(size=(300, 8)) * 1e-160):
+        ids = np.arange(len(x))
+        block = ann.QueryBlock(ids[:20], x[:20])
+        heaps, upper = [[] for _ in range(20)], np.full(20, np.inf)
+        for a in range(0, len(x), 256):
+            block.search(heaps, upper, ids[a : a + 256], x[a : a + 256], 10)
+        for q in range(20):
+            d = ann.distances(np.repeat(x[q : q + 1], len(x), 0), x)
+            want = [(d[i], i) for i in np.lexsort((ids, d)) if i != q][:10]
+            assert sorted((-a, -b) for a, b in heaps[q]) == [(float(a), int(b)) for a, b in want]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(50, 64)) * 10 ** rng.uniform(-3, 3, (50, 1)), rng.normal(size=(50, 64))
