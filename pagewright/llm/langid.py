@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.runtime import map_batches
+from pagewright.llm.runtime import broadcast_if_small, map_batches, staged
 
 #: Hash buckets for each n-gram order from 1 to ORDERS.
 BUCKETS, ORDERS = 2048, 3
-#: Bound on the training sample: whole texts for each language, the least by hash of doc_id; and on languages.
-TEXTS_PER_LANGUAGE, MOST_LANGUAGES = 600, 200
+#: Bounds on the training sample: whole texts for each language, the least by hash of doc_id and text, and texts in all,
+#: which languages share alike; every language has at least one.
+TEXTS_PER_LANGUAGE, SAMPLE_TEXTS = 600, 24_000
+#: Rows of the sample that are held dense at once while the classifiers are fitted.
+DENSE_ROWS = 4_000
 #: A runner-up with more than this share of the winner's weight makes an answer ambiguous.
 AMBIGUOUS = 0.5
 UNDETERMINED = "und"
@@ -102,43 +105,60 @@ class LanguageModel:
 
 
 def train_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
-    """Learn from rows with text and language whose crc32(id as text) mod 5 is not 0: at most per_language of each.
+    """Learn from rows with text and language whose crc32(id as text) mod 5 is not 0: at most
+    per_language rows of each, however often an id or text is repeated.
 
     No such rows give a model that knows no language (all `und`); one language is then always the answer.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     mine = rows.where("lang is not null and text is not null and crc32(cast(id as string)) % 5 != 0")
-    # A hash cutoff from each language's count leaves about twice the sample, so no language meets whole in one task.
-    counts = mine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    near = mine.select("id", "lang").join(F.broadcast(counts), "lang").where(place < F.lit(2_000_000.0 * per_language) / F.col("count") + 100)
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id")))
-    chosen = ranked.where(F.col("n") <= per_language).select("id", "lang").distinct().limit(per_language * MOST_LANGUAGES)  # bounded, so it may be broadcast
+    # A hash cutoff from each language's count leaves about twice the sample, so no language meets whole in one task; rows
+    # of one id or text that pass it together are cut to the sample's size in every task before they meet.
+    counts = staged(mine.groupBy("lang").count(), "languages")
+    per_language = max(1, min(per_language, SAMPLE_TEXTS // max(1, counts.count())))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    near = mine.join(broadcast_if_small(counts), "lang").where(place < F.lit(2_000_000.0 * per_language) / F.col("count") + 100)
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id", F.xxhash64("text"))))
 
     def kernel(batch):
         vectors = [grams(t) for t in batch.column(2).to_pylist()]
         keep = [i for i, v in enumerate(vectors) if v is not None]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array([vectors[i].tobytes() for i in keep], pa.binary())], ["id", "lang", "x"])
+        found = [np.flatnonzero(vectors[i]).astype(np.uint16) for i in keep]
+        columns = [pa.array([at.tobytes() for at in found], pa.binary()), pa.array([vectors[i][at].tobytes() for i, at in zip(keep, found, strict=True)], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), *columns], ["id", "lang", "at", "x"])
 
-    sample = map_batches(mine.join(F.broadcast(chosen), ["id", "lang"]).select(F.col("id").cast("string"), "lang", "text"), kernel, "id string, lang string, x binary").toArrow()
-    order = sorted(range(sample.num_rows), key=lambda i: (sample["lang"][i].as_py(), sample["id"][i].as_py(), sample["x"][i].as_py()))
-    langs = [sample["lang"][i].as_py() for i in order]
+    sample = map_batches(ranked.where(F.col("n") <= per_language).select(F.col("id").cast("string"), "lang", "text"), kernel, "id string, lang string, at binary, x binary").toArrow()
+    rows = sorted(zip(*(sample[c].to_pylist() for c in ("lang", "id", "at", "x")), strict=True), key=lambda r: (r[0], r[1] or "", r[3]))
+    langs = [r[0] for r in rows]
     names = sorted(set(langs))
     if len(names) < 2:
         return LanguageModel(names, np.ones((len(names), 1), np.int8), np.ones((len(names), 1)), np.zeros((BUCKETS * ORDERS, 1)), np.zeros(1))
-    x = np.frombuffer(b"".join(sample["x"][i].as_py() for i in order), np.float32).reshape(len(order), -1)
+    size = BUCKETS * ORDERS
+
+    def dense(a: int) -> np.ndarray:
+        out = np.zeros((min(DENSE_ROWS, len(rows) - a), size), np.float32)
+        for i, r in enumerate(rows[a : a + DENSE_ROWS]):
+            out[i, np.frombuffer(r[2], np.uint16)] = np.frombuffer(r[3], np.float32)
+        return out
+
+    pieces = range(0, len(rows), DENSE_ROWS)
+    block = functools.lru_cache(maxsize=1)(dense)  # a sample of one block is laid out once
     y = np.searchsorted(np.array(names), np.array(langs))
     code = codewords(len(names))
     target = code[y].astype(np.float32)
     share = 1 / np.bincount(y)[y].astype(np.float32)[:, None] / len(names)  # every language weighs the same
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    w, b = np.zeros((size, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     dw, db = np.zeros_like(w), np.zeros_like(b)
     for _ in range(200):
-        pull = share * target / (1 + np.exp(target * (x @ w + b)))
-        dw, db = 0.9 * dw + 4 * (x.T @ pull - 1e-5 * w), 0.9 * db + 4 * pull.sum(0)
+        gw, gb = -1e-5 * w, np.zeros_like(b)
+        for a in pieces:
+            x, at = block(a), slice(a, a + DENSE_ROWS)
+            pull = share[at] * target[at] / (1 + np.exp(target[at] * (x @ w + b)))
+            gw, gb = gw + x.T @ pull, gb + pull.sum(0)
+        dw, db = 0.9 * dw + 4 * gw, 0.9 * db + 4 * gb
         w, b = w + dw, b + db
-    right = (np.sign(x @ w + b) == target).astype(float)
-    trust = np.stack([right[y == i].mean(0) for i in range(len(names))]) + 1e-3
+    right = np.concatenate([np.sign(block(a) @ w + b) for a in pieces]) == target
+    trust = np.stack([right[y == i].astype(float).mean(0) for i in range(len(names))]) + 1e-3
     return LanguageModel(names, code, trust / trust.sum(1, keepdims=True), w.astype(np.float64), b.astype(np.float64))
 
 

@@ -50,6 +50,33 @@ def test_language_edges(spark):
     assert langid.identify(df, alone).where("doc_id = 2").first().lang_pred == "en"
 
 
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """Repeated ids do not widen the samples; many languages share the sample and all can be predicted."""
+    rows = [(1, f"the cat number {i}", "en") for i in range(400)] + [(2, "le chat", "fr")] * 400 + [(3 + i, f"{c * 5} {c * 3}", f"l{i:03d}") for i, c in enumerate(map(chr, range(0x4E00, 0x4E00 + 260)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "grams", lambda t, real=langid.grams: seen.append(t) or real(t))
+    model = langid.train_language_model(df, per_language=5)
+    assert len(model.languages) > 200
+    right = [model.predict([t])[0][0] == lang for _, t, lang in rows[800:] if lang in model.languages]
+    assert np.mean(right) > 0.9
+    docs, labels = made_documents(spark)
+    many = docs.unionAll(docs.where("doc_id < 30")).unionAll(docs.where("doc_id < 30"))
+    assert toxicity.train_toxicity_model(many, labels, rows=50).thresholds.shape == (2,)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Labelled rows with crc32 mod 5 = 0 are never learned from: precision and recall on all of them."""
+    folder = DOCS.replace("sf0.01", "sf0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    model = toxicity.train_toxicity_model(docs, labels)
+    held = labels.where("crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", F.col("toxic").alias("truth"))
+    got = toxicity.grade_toxicity(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id").toPandas()
+    hit = (got.toxic & (got.truth > 0)).sum()
+    assert len(got) > 500 and hit >= 0.9 * (got.truth > 0).sum() and hit >= 0.95 * got.toxic.sum()
+
+
 def made_documents(spark):
     """Half of the documents hold one of two marks; marks in others are absent; noise words are everywhere."""
     rng = np.random.default_rng(2)
