@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.runtime import map_batches
+from pagewright.llm.runtime import map_batches, staged
 
 #: Bound on the training sample (labelled rows, the least by hash of doc_id) and on its vocabulary.
 LABELLED_ROWS, MOST_FEATURES, LEAST_DOCS = 3_000, 40_000, 8
@@ -136,13 +136,15 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_
     graded = labels.where("toxic is not null").select(F.col(id_col).alias("id"), (F.col("toxic") > 0).cast("int").alias("grade"))
     chosen = graded.where("crc32(cast(id as string)) % 5 != 0").orderBy(F.xxhash64("id"), "id", "grade").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "grade", "text")  # at most `rows` rows are broadcast
+    # At most `rows` rows are broadcast, and at most `rows` are kept where ids of documents are repeated.
+    found = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("text")).limit(rows)
+    sample = staged(found.select(F.col("id").cast("string").alias("id"), "grade", "text").repartition(32), "labelled-texts")
 
     def split(batch):
         yield pa.RecordBatch.from_arrays([pa.array([list(text_features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["features"])
 
     counted = map_batches(sample, split, "features array<string>").select(F.explode("features").alias("feature")).groupBy("feature").count()
-    total = chosen.count()
+    total = sample.count()
     vocab = [r.feature for r in counted.where((F.col("count") >= LEAST_DOCS) & (F.col("count") <= MOST_SHARE * total)).orderBy(F.desc("count"), "feature").limit(MOST_FEATURES).collect()]
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
 
