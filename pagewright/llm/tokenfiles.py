@@ -1,8 +1,8 @@
 """Token ids in flat binary files with 64-bit document offsets.
 
-Each range of doc_id becomes a shard of three flat little-endian files: `.bin` (ids, unsigned 16-bit where the vocabulary
-allows, else 32-bit), `.off` (n + 1 signed 64-bit offsets of the documents, in ids) and `.doc` (signed 64-bit doc_id;
-the least value stands for null). A task writes under names of its own and reports them in the manifest, so the files
+Each range of doc_id becomes a shard of four flat little-endian files: `.bin` (ids, unsigned 16-bit where the vocabulary
+allows, else 32-bit), `.off` (n + 1 signed 64-bit offsets of the documents, in ids), `.doc` (signed 64-bit doc_id) and
+`.nul` (a byte for each document, 1 where its doc_id is null). Texts are encoded where they are; only ids are sorted. A task writes under names of its own and reports them in the manifest, so the files
 of lost or doubled attempts are never read. Prefix sums of the shards' totals give each shard its base.
 """
 
@@ -19,17 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.runtime import filesystem, new_path, staged
+from pagewright.llm.runtime import drop_staged, filesystem, new_path, slices, staged
 from pagewright.llm.tokens import encoder
 
-NULL_ID = -(1 << 63)
-
-
 class TokenShard:
     """A shard's documents by index; files of a local or mounted store are memory-mapped, others read once."""
 
     def __init__(self, path: str, dtype: str):
-        self.tokens, self.offsets, self.doc_ids = (self._flat(path + end, kind) for end, kind in ((".bin", dtype), (".off", "<i8"), (".doc", "<i8")))
+        self.tokens, self.offsets, self.doc_ids, self.nulls = (self._flat(path + end, kind) for end, kind in ((".bin", dtype), (".off", "<i8"), (".doc", "<i8"), (".nul", "|b1")))
 
     @staticmethod
     def _flat(path: str, dtype: str) -> np.ndarray:
@@ -55,32 +52,46 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     spark = df.sparkSession
     folder = folder or new_path(spark, "token-files")
 
-    def write(batches):
+    def encode(batches):
         enc = encoder(path)
         dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
+        for batch in batches:
+            for a, b in slices(batch.column(2).to_pylist()):
+                part = batch.slice(a, b - a)
+                ids = [np.append(enc.encode(t.as_py()), np.uint32(end_id)).astype(dtype).tobytes() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(ids, pa.binary()), pa.array([dtype] * len(ids))], ["doc_id", "key", "ids", "dtype"])
+
+    def write(batches):
         fs, at = filesystem(folder)
-        name, streams = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", []
-        offsets, docs, total = [0], [], 0
+        name, out, dtype = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, None
+        offsets, docs, nulls, total = [0], [], [], 0
         for batch in batches:
-            if batch.num_rows and not streams:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                dtype = batch.column(1)[0].as_py()
                 fs.create_dir(at, recursive=True)
-                streams = [fs.open_output_stream(f"{at}/{name}.bin")]
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py())
-                streams[0].write(np.append(ids, np.uint32(end_id)).astype(dtype).tobytes())
-                total += len(ids) + 1
+                out = fs.open_output_stream(f"{at}/{name}.bin")
+            for d, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                ids = ids.as_py()
+                out.write(ids)
+                total += len(ids) // int(dtype[-1])
                 offsets.append(total)
-                docs.append(NULL_ID if d is None else d)
-        if streams:
-            streams[0].close()
-            for end, values in ((".off", offsets), (".doc", docs)):
+                docs.append(d or 0)
+                nulls.append(d is None)
+        if out is not None:
+            out.close()
+            for end, values, kind in ((".off", offsets, "<i8"), (".doc", docs, "<i8"), (".nul", nulls, "|b1")):
                 with fs.open_output_stream(f"{at}/{name}{end}") as f:
-                    f.write(np.array(values, "<i8").tobytes())
+                    f.write(np.array(values, kind).tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "dtype": [dtype], "docs": [len(docs)], "tokens": [total]})
 
-    kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    encoded = staged(kept.mapInArrow(encode, "doc_id long, key long, ids binary, dtype string").withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    by = ("doc_id", "key", "row")  # rows of one id, and copies of one row, may be parted
+    ranged = encoded.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "dtype", "ids")
     shards = staged(ranged.mapInArrow(write, "shard int, path string, dtype string, docs long, tokens long"), "token-manifest")
+    drop_staged(encoded)
     rows = sorted(shards.collect(), key=lambda r: r.shard)  # a row per shard
     bases = accumulate([0, *(r.tokens for r in rows)])
     return spark.createDataFrame([(*r, b) for r, b in zip(rows, bases, strict=False)], "shard int, path string, dtype string, docs long, tokens long, base long")
@@ -97,7 +108,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(shard[i].astype("<u4").tobytes()) for i in range(len(shard))]
                 doc = np.array(shard.doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, mask=doc == NULL_ID), pa.array(row["base"] + shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), row["shard"], np.int32)), pa.array(np.arange(len(doc)))],
+                    [pa.array(doc, mask=np.array(shard.nulls)), pa.array(row["base"] + shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), row["shard"], np.int32)), pa.array(np.arange(len(doc)))],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "index"],
                 )
 

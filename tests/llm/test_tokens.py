@@ -85,6 +85,29 @@ def test_packing(spark, docs, library, length):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_long_texts_and_words(library):
+    """A text of 5 MB and a word of 1 MB without a space, by the fast encoder and by the codec."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    long, word = " ".join(rng.choice(words) for _ in range(900_000)), "".join(rng.choice("abcé") for _ in range(1_000_000))
+    fast = tokens.FastEncoder(PATH)
+    for text in (long[:5_000_000], word):
+        want = ids_of(library, text)
+        assert fast.encode(text).tolist() == want and bpe.SpeculativeBpe(PATH).encode_many([text])[0] == want
+
+
+def test_special_tokens_of_any_form(library, tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["added_tokens"][0]["content"] = "[[end]]"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    codec = bpe.SpeculativeBpe(str(path))
+    text = "a [[end]]b <|endoftext|>"
+    assert codec.special["[[end]]"] in codec.encode_many([text])[0]
+
+
 def test_token_files(spark, docs, library):
     manifest = tokenfiles.write_token_files(docs, PATH)
     rows = sorted(tokenfiles.read_token_files(manifest).collect(), key=lambda r: r.start)
@@ -96,6 +119,9 @@ def test_token_files(spark, docs, library):
     shard = tokenfiles.TokenShard(first.path, first.dtype)
     assert shard[0].tolist() == [*ids_of(library, "no id"), 2] and shard.tokens.dtype == np.uint16
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(docs.limit(0), PATH)).count() == 0
+    least = spark.createDataFrame([(-(2**63), "a"), (None, "b")] + [(4, "same")] * 50, "doc_id long, text string")
+    back = tokenfiles.read_token_files(tokenfiles.write_token_files(least, PATH)).collect()
+    assert sorted(str(r.doc_id) for r in back) == sorted([str(-(2**63)), "None"] + ["4"] * 50)
 
 
 @pytest.mark.parametrize("sampling", [((2, 2), (1, 1), (1, 1)), ((2, 1), (1, 1), (1, 1)), ((1, 1),)])
