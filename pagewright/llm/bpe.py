@@ -86,6 +86,7 @@ class SpeculativeBpe:
             self.longest[k[:2]] = max(self.longest.get(k[:2], 1), len(k))
         self.split = regex.compile(SPLIT)
         self.on_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marks = sorted({t[0] for t in self.special if t})
         self.known: dict[str, tuple[int, ...]] = {}
         self.verified = self.exact_merges = 0
 
@@ -168,6 +169,10 @@ class SpeculativeBpe:
                 heapq.heappush(heap, (m[0], before[i], ids[before[i]], ids[i]))
         return [t for t in ids if t >= 0]
 
+    def has_special(self, text: str) -> bool:
+        """Whether a special token may be in the text: one of their first characters is."""
+        return any(c in text for c in self.marks)
+
     def learn(self, words: list[str]) -> None:
         """Encode distinct new words into self.known: propose, verify all pairs at once, merge what fails."""
         raw = [w.encode() for w in words]
@@ -189,7 +194,7 @@ class SpeculativeBpe:
         """Ids of whole texts (null: none)."""
         pieces = []  # of each text: lists of words, and ids of special tokens between them
         for text in texts:
-            parts = [text or ""] if not self.on_special or "<" not in (text or "") else self.on_special.split(text)
+            parts = self.on_special.split(text) if text and self.has_special(text) else [text or ""]
             pieces.append([self.special[p] if k % 2 else self.split.findall(p) for k, p in enumerate(parts)])
         if len(self.known) > WORDS_KEPT:
             self.known = {}

@@ -18,7 +18,7 @@ class FastEncoder:
     def __init__(self, path: str):
         self.path, bpe = path, SpeculativeBpe(path)
         self.special = bpe.special
-        self.on_special = bpe.on_special
+        self.on_special, self.has_special = bpe.on_special, bpe.has_special
         self.size = len(bpe.bytes_of)
         made = [m for _, m in sorted(bpe.merges.values())]
         plain = {b: i for i, b in enumerate(bpe.bytes_of) if b and b.decode("utf-8", "replace") not in self.special}
@@ -37,7 +37,7 @@ class FastEncoder:
         """Ids of a whole text as unsigned 32-bit integers; a null text counts as empty."""
         if not text:
             return np.empty(0, np.uint32)
-        if self.on_special is None or "<" not in text or not self.on_special.search(text):
+        if not self.has_special(text) or not self.on_special.search(text):
             return self._plain(text)
         parts = self.on_special.split(text)
         return np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else self._plain(p) for k, p in enumerate(parts) if p])
