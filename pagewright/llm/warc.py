@@ -198,7 +198,7 @@ def index_archives(archives: DataFrame) -> DataFrame:
                         if kind == "response" and "sha256:" + digest != fields["warc-payload-digest"]:
                             raise ValueError(f"damaged record at {offset} of {row['path']}")
                         info = {"page": page, "kind": kind, "bytes": len(payload) if kind == "response" else int(fields["warc-payload-length"]), "digest": digest, "first": fields.get("warc-refers-to", "")[10:-1], "file": row["path"].rpartition("/")[2], "offset": offset, "length": length}
-                        order = page.rjust(20, "0") if page[0] != "-" or page == "-" else "-" + page[1:].rjust(19, "0")
+                        order = page if page == "-" else f"{int(page) + (1 << 63):020d}"  # null first, then by number
                         lines.append(f"{url_key(fields.get('warc-target-uri'))} {stamp} {order}\t{json.dumps(info)}".encode())
                 run = RunWriter(folder)
                 for line in sorted(lines):
