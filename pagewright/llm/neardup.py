@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.runtime import broadcast_if_small, drop_staged, grouped, map_batches, staged
@@ -272,10 +272,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each class, the one of the least id (once, if its row is repeated); rows without id stay."""
+    """df with one document of each class, the one of the least id (of its rows
+    the first by hash of the text, then by all columns); rows without id stay."""
     classes = near_duplicates(df, id_col, text_col)
     copies = staged(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
     kept = df.join(broadcast_if_small(copies), id_col, "left_anti").select(*df.columns)
     if df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").head(1):
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+        first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.to_json(F.struct(*df.columns)))
+        one = kept.where(F.col(id_col).isNotNull()).select("*", F.row_number().over(first).alias("__row")).where("__row = 1").drop("__row")
+        kept = one.unionByName(kept.where(F.col(id_col).isNull()))
     return kept
