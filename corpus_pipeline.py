@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model holds for toxic go; null and empty texts stay."""
     model = toxicity.train_toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(toxicity.toxicity_of(model, docs)(F.col("text")) < TOXIC)
+    return docs.where((F.coalesce(F.col("text"), F.lit("")) == "") | (toxicity.toxicity_of(model, docs)(F.col("text")) < TOXIC))
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
