@@ -1,207 +1,120 @@
-"""Tolerant HTML reading in plain Python: tree, typed blocks, links, head, structured payloads, markup counts.
+"""What a page holds, read from its tree: typed blocks, links, head, structured payloads, markup counts.
 
 Runs inside Arrow batches (operators/parse.py); nothing here touches Spark.
 """
 
 from __future__ import annotations
 
+import functools
+import html as entities
 import json
 import re
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-from pagewright.functions.mathml import latex
-
-MAX_BYTES = 32 << 20
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style template noscript head svg iframe object textarea button".split())
-BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
-    "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video audio".split()
+from pagewright.functions.dom import ABSENT, BLOCK, EDITORS, FLOATS, HIDDEN_BY, MARK, Node, first, fold, hidden_by, tree
+
+__all__ = ["Blocks", "Node", "absolute", "first", "fold", "is_rtl", "links", "loads", "metadata", "payloads", "stats", "tree"]
+
+SKIP = frozenset("script style template noscript head textarea colgroup source track param".split())
+#: Sizes that decide tables, pictures and panels.
+LONG_CELL, GRID, FILLED, BLANK_ROWS, TABLE_MARKUP = 200, 2, 0.4, 0.2, 200_000
+LEAST_PICTURE, PANEL_SHARE, COMMENT_SHARE, HEADER_WORDS, DIAGRAM_LABELS, DIAGRAM_WORDS = 32, 0.4, 0.92, 4, 2, 3
+
+# Words of class, id and label that name parts of a page, in alphabetical order.
+TOKEN = re.compile(r"[^a-z0-9]+")
+FILTERS = set("facet faceted facets filter filterbar filternav filters filtersidebar refine refinement refinements".split())
+CALLOUTS = set("admonition alert callout caution danger hint important info note notes tip tips warning".split())
+CALLOUT_LABEL = re.compile(r"(?:caution|danger|example|hint|important|info|note|see also|tip|warning)\b", re.I)
+COMMENTS = set("commentbox commentlist commentlisting commento commentsarea commentsection commentwrap disqus_thread isso-thread remark42 wpdiscuz".split())
+NO_COMMENTS = set("author btn button closed count counts date disabled enabled field has icon input js label link message meta no nonce notification open privacy recent reply toggle with".split())
+CONSENT_VENDORS = ("cc-window", "cookiebot", "cookieconsent", "didomi", "onetrust", "optanon", "ot-sdk", "qc-cmp2", "sp_message", "truste")
+CONSENT_SUBJECTS, CONSENT_FORMS = {"consent", "cookie", "gdpr", "privacy"}, set("alert banner bar box consent container dialog disclaimer info law manager message modal msg notice overlay policy popup prompt settings wrap wrapper".split())
+RAILS = set(
+    "addthis adsbygoogle breadcrumb breadcrumbs colophon footer footer-container footer-inner footer-wrap footer-wrapper global-footer main-footer main-menu main-nav main-navigation mainmenu mainnav marquee "
+    "mega-menu megamenu mgid nav navbar navigation newsticker outbrain page-footer primary-nav primary-navigation revcontent sharedaddy sharethis site-footer site-nav site-navigation skyscraper taboola ticker top-nav topnav yarpp zergnet".split()
 )
-#: A start tag of the key closes an open element of these, up to the nearest boundary.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
-    "option": ({"option"}, {"select"}),
-}
-HEADING = re.compile(r"h([1-6])$")
-SPACE = re.compile(r"\s+")
-MARK = "\x00"  # a line break, until text is folded
-
-#: Words of class and id that name page furniture.
-FURNITURE = {
-    "consent": {"cookie", "cookies", "consent", "gdpr", "onetrust"},
-    "comments": {"comments", "comment", "disqus", "respond"},
-    "filter": {"filter", "filters", "facet", "facets", "refinement"},
-    "rail": {"sidebar", "rail", "related", "recommended", "promo"},
-}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "place")
-
-    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
-        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
-        self.place = 1 + sum(1 for k in up.kids if isinstance(k, Node) and k.tag == tag) if up else 1
-        if up:
-            up.kids.append(self)
-
-    def walk(self):
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+RAIL_PAIRS = (
+    "ad-container ad-slot ad-unit ad-wrapper also-read breaking-news latest-news latest-posts more-stories most-popular most-read most-viewed news-ticker newsletter-form newsletter-signup popular-posts promo-box "
+    "read-next recent-posts related-articles related-content related-news related-posts related-stories share-bar share-buttons sharing-buttons social-share sticky-ad top-stories trending-now trending-posts you-may-like"
+).split()
+POST_FURNITURE = set(
+    "author-info authorinfo extrauserinfo member-info memberinfo message-signature message-user message-userbanner message-userdetails message-userextras messageuserinfo post-count post-profile post-signature "
+    "postcount postprofile postsignature reputation-score signature signature-content user-info user-title userinfo usertitle".split()
+)
+BODIES = set("article-body article-content article__body article__content articlebody entry-body entry-content entrycontent post-body post-content post_body post_content postbody postcontent story-body".split())
+TEMPLATES = "ng-hide ng-if ng-show ng-switch-default ng-switch-when v-else v-else-if v-if v-show x-if x-show".split()
+NO_LANGUAGE = {"", "nohighlight", "none", "null", "plain", "plaintext", "text", "undefined"}
+LANGUAGES = set("bash c cpp cs csharp css go html http java javascript js json jsx kotlin less php python rb ruby rust scss sh shell sql swift text ts tsx txt typescript xml yaml".split())
+CODE_CONTROLS = set("clipboard copied copied! copy edit play raw reset run".split())
+UPPER, LOWER = str.maketrans("0123456789+-=()ni", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ"), str.maketrans("0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎")
+PANEL_TAGS = frozenset("aside details div dl fieldset footer form header li nav ol p section span table tbody td tr ul article".split())
+WRAPS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
+TABLE_TAGS, TABLE_ATTRIBUTES = frozenset("a br caption img sub sup table tbody td tfoot th thead tr".split()), ("colspan", "rowspan", "href", "src", "alt")
 
-    def text(self, breaks: bool = False) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
-            elif node.tag == "br":
-                out.append(MARK if breaks else " ")
-            elif node.tag not in ("script", "style", "template"):
-                if node.tag in BLOCK:
-                    out.append(" ")
-                    stack.append(" ")
-                stack.extend(reversed(node.kids))
-        return fold("".join(out))
-
-    def xpath(self) -> str:
-        parts, node = [], self
-        while node.up:
-            parts.append(f"{node.tag}[{node.place}]")
-            node = node.up
-        return "/" + "/".join(reversed(parts))
-
-    def words(self) -> set[str]:
-        return set(re.split(r"[^a-z0-9]+", f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower())) - {""}
-
-
-def fold(text: str) -> str:
-    """White space folded; line breaks of the source kept as newlines."""
-    if MARK not in text:
-        return SPACE.sub(" ", text).strip()
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(SPACE.sub(" ", x).strip() for x in text.split(MARK))).strip()
-
-
-class Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document", {}, None)
-        self.open = [self.root]
-
-    def _close(self, tags: set[str], border: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in border:
-                return
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
 
-    def handle_starttag(self, tag, attrs):
-        if tag in CLOSES:
-            self._close(*CLOSES[tag])
-        elif tag in BLOCK and tag not in ("html", "body"):
-            self._close({"p"}, {"td", "th", "li", "div", "article", "section", "body", "button"})
-            if HEADING.match(tag):
-                self._close({f"h{i}" for i in range(1, 7)}, {"div", "article", "section", "body", "td"})
-        if tag in ("html", "body", "head") and any(n.tag == tag for n in self.open):
-            self.open[1].attrs.update({k: v or "" for k, v in attrs if tag == "html"})
-            return
-        if len(self.open) > 400:  # deeper markup is flattened
-            return
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "circle"):
-            self.open.pop()
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
-            if self.open[i].tag == "body" and tag != "html":
-                return
+def landmark(node: Node) -> str | None:
+    a = node.attrs
+    if "role" in a:
+        by_role = {"navigation": "nav", "contentinfo": "footer", "complementary": "aside", "main": "main", "banner": "header"}.get(a["role"].strip().lower())
+        if by_role:
+            return by_role
+    if node.tag == "aside" and (CALLOUT_LABEL.match(a.get("aria-label", "").strip()) or CALLOUTS & set(TOKEN.split(node.names()))):
+        return None
+    return node.tag if node.tag in ("nav", "footer", "aside", "main", "header") else None
 
-    def handle_data(self, data):
-        self.open[-1].kids.append(data)
-
-
-def tree(html: str | None) -> Node:
-    """The tree of a page; ValueError for an empty or oversized one."""
-    html = re.sub(r"^\s*<\?xml[^>]*\?>", "", html or "")
-    if not html.strip():
-        raise ValueError("empty document")
-    if len(html) > MAX_BYTES:
-        raise ValueError("document too large")
-    builder = Builder()
-    builder.feed(html)
-    builder.close()
-    compose_shadows(builder.root)
-    unwrap_noscript(builder.root)
-    return builder.root
-
-
-def compose_shadows(root: Node) -> None:
-    """Declarative shadow roots in place of their hosts' children, which go to the slots of their names."""
-    for host in [n for n in root.walk() if any(isinstance(k, Node) and k.tag == "template" and (k.attrs.get("shadowrootmode") or k.attrs.get("shadowroot")) for k in n.kids)]:
-        shadow = next(k for k in host.kids if isinstance(k, Node) and k.tag == "template")
-        light: dict[str, list] = {}
-        for k in host.kids:
-            if k is not shadow:
-                light.setdefault(k.attrs.get("slot", "") if isinstance(k, Node) else "", []).append(k)
-        for slot in [n for n in shadow.walk() if n.tag == "slot"]:
-            slot.kids = light.pop(slot.attrs.get("name", ""), None) or slot.kids
-            slot.tag = "span"
-        host.kids = shadow.kids
-        for k in host.kids:
-            if isinstance(k, Node):
-                k.up = host
-
-
-def unwrap_noscript(root: Node, shell: int = 150, least: int = 100) -> None:
-    """A page that is nothing without scripts but says what it holds in noscript is read from there."""
-    body = first(root, "body") or root
-    parts = [n for n in body.walk() if n.tag == "noscript"]
-    words = sum(len(n.text().split()) for n in parts)
-    if parts and words > least and len(body.text().split()) - words < shell:
-        for n in parts:
-            n.tag = "div"
-
-
-def first(root: Node, tag: str) -> Node | None:
-    return next((n for n in root.walk() if n.tag == tag), None)
-
-
-def hidden(node: Node) -> bool:
-    style = node.attrs.get("style", "").replace(" ", "").lower()
-    return "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or (node.tag == "dialog" and "open" not in node.attrs)
 
+def holds_article(node: Node) -> bool:
+    return any(n.tag == "h1" or "articlebody" in n.attrs.get("itemprop", "").lower() for n in node.walk())
 
-def landmark(node: Node) -> str | None:
-    role = node.attrs.get("role", "").lower()
-    by_role = {"navigation": "nav", "contentinfo": "footer", "complementary": "aside", "main": "main", "banner": "header"}.get(role)
-    return by_role or (node.tag if node.tag in ("nav", "footer", "aside", "main", "header") else None)
+
+def names_rail(names: str) -> bool:
+    """A token that names a rail, or a pair of words that does, set off inside a longer token."""
+    return any(t in RAILS or any(p in t and (t == p or not t.replace(p, "x").isalnum()) for p in RAIL_PAIRS) for t in names.split())
+
+
+def names_comments(names: str) -> bool:
+    if "comment" not in names and "disqus" not in names and "wpdiscuz" not in names:
+        return False
+    return any(t in COMMENTS or (parts := set(TOKEN.split(t))) & {"comment", "comments"} and not parts & NO_COMMENTS for t in names.split())
+
+
+def names_consent(names: str) -> bool:
+    for t in names.split():
+        parts = [x for x in re.split(r"[_-]", t) if x]
+        if any(v in t for v in CONSENT_VENDORS) or any(a in CONSENT_SUBJECTS and b in CONSENT_FORMS for a, b in zip(parts, parts[1:], strict=False)):
+            return True
+        if any(t.startswith(s) and t[len(s) :] in CONSENT_FORMS for s in ("cookie", "consent", "gdpr")):
+            return True
+    return False
+
+
+def widget(node: Node, body_words: int) -> str | None:
+    """The kind of panel an element names itself, unless it holds too much of the page for a panel."""
+    if node.tag not in PANEL_TAGS:
+        return None
+    names = node.names()
+    small = node.size <= PANEL_SHARE * body_words
+    if names:
+        if small and POST_FURNITURE & set(names.split()):
+            return "post-furniture"
+        if small and names_rail(names) and not holds_article(node):
+            return "rail"
+        if node.size <= COMMENT_SHARE * body_words:
+            if names_consent(names):
+                return "consent"
+            if names_comments(names):
+                return "comments"
+    if small and node.tag in ("aside", "details", "div", "fieldset", "form", "nav", "section", "ul"):
+        label = f"{names} {node.attrs.get('aria-label', '')} {node.attrs.get('data-testid', '')}".lower()
+        if FILTERS & set(TOKEN.split(label)):
+            return "filter" if any(n.tag in ("input", "select") for n in node.walk()) else None
+        if node.tag == "fieldset" and any(n.tag == "input" and n.attrs.get("type") == "checkbox" for n in node.walk()):
+            return "filter"
+    return None
 
 
-def widget(node: Node) -> str | None:
-    words = node.words()
-    return next((name for name, marks in FURNITURE.items() if words & marks), None) if words else None
+def names_body(node: Node) -> bool:
+    return node.tag in ("div", "section", "article", "main") and ("articlebody" in node.attrs.get("itemprop", "").lower() or bool(BODIES & set(node.names().split())))
 
 
 def span(cell: Node, name: str) -> int:
@@ -211,13 +124,43 @@ def span(cell: Node, name: str) -> int:
         return 1
 
 
-def grid(table: Node) -> list[list[str]]:
+def own_rows(table: Node) -> list[Node]:
+    """Rows of a table but not of tables within it, header rows first as they stand."""
+    out = []
+    for k in table.elements():
+        if k.tag == "tr":
+            out.append(k)
+        elif k.tag in ("thead", "tbody", "tfoot"):
+            out += [r for r in k.elements() if r.tag == "tr"]
+    return out
+
+
+def cells_of(row: Node) -> list[Node]:
+    return [k for k in row.elements() if k.tag in ("td", "th")]
+
+
+def cell_text(cell: Node) -> str:
+    """Text of a cell without that of tables within it."""
+    out, stack = [], list(reversed(cell.kids))
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k.tag not in ("script", "style", "template", "table"):
+            if k.tag in BLOCK or k.tag == "br":
+                out.append(" ")
+                stack.append(" ")
+            stack.extend(reversed(k.kids))
+    return fold("".join(out))
+
+
+def grid(table: Node, render=cell_text) -> list[list[str]]:
     """Cells of a table with row and column spans filled in."""
     rows: list[list[str]] = []
     pending: dict[int, tuple[int, str]] = {}
-    for tr in (n for n in table.walk() if n.tag == "tr" and nearest(n, "table") is table):
+    for tr in own_rows(table):
         row: list[str] = []
-        cells = iter([k for k in tr.kids if isinstance(k, Node) and k.tag in ("td", "th")])
+        cells = iter(cells_of(tr))
         cell = next(cells, None)
         while cell is not None or any(c >= len(row) for c in pending):
             at = len(row)
@@ -230,7 +173,7 @@ def grid(table: Node) -> list[list[str]]:
             if cell is None:
                 row.append("")
                 continue
-            text = cell.text()
+            text = render(cell)
             for _ in range(span(cell, "colspan")):
                 if (down := span(cell, "rowspan")) > 1:
                     pending[len(row)] = (down - 1, text)
@@ -240,24 +183,172 @@ def grid(table: Node) -> list[list[str]]:
     return rows
 
 
-def nearest(node: Node, tag: str) -> Node | None:
-    up = node.up
-    while up and up.tag != tag:
-        up = up.up
-    return up
+def header_depth(table: Node) -> int:
+    """Leading header rows: those of thead, else the first rows of nothing but th."""
+    head = [r for k in table.elements() if k.tag == "thead" for r in k.elements() if r.tag == "tr"]
+    if head:
+        return len(head)
+    depth = 0
+    for row in own_rows(table):
+        cells = cells_of(row)
+        if not cells or any(c.tag != "th" for c in cells):
+            break
+        depth += 1
+    return depth
+
+
+def collapse_header(rows: list[list[str]], depth: int) -> list[list[str]]:
+    """One label a column out of several header rows, without repeats."""
+    if depth < 2 or depth > len(rows):
+        return rows
+    width = max(map(len, rows[:depth]))
+    head = [" ".join(dict.fromkeys(r[c] for r in rows[:depth] if c < len(r) and r[c])) for c in range(width)]
+    return [head, *rows[depth:]]
 
 
 def is_layout(table: Node) -> bool:
-    """A table that only arranges a page: no header cells, or a shape that is no grid."""
+    """A table that only arranges a page: no header of its own, and tables or whole passages in its cells or no grid's shape."""
     if table.attrs.get("role") in ("presentation", "none"):
         return True
-    if any(n.tag in ("th", "caption") for n in table.walk()):
+    rows = own_rows(table)
+    if any(k.tag in ("caption", "thead") for k in table.elements()) or any(c.tag == "th" for r in rows for c in cells_of(r)):
         return False
-    rows = grid(table)
-    cells = [c for r in rows for c in r]
-    if len(rows) < 2 or max(map(len, rows)) < 2 or any(n.tag in BLOCK - {"tr", "td", "tbody", "table", "p"} for n in table.walk() if n is not table):
+    if any(n.tag == "table" for n in table.walk() if n is not table):
         return True
-    return sum(not any(r) for r in rows) / len(rows) > 0.2 or sum(map(bool, cells)) / len(cells) < 0.4
+    cells = [c for r in rows for c in cells_of(r)]
+    if not cells:
+        return False
+    filled = [bool(c.text()) for c in cells]
+    if len(rows) < GRID or max(len(cells_of(r)) for r in rows) < GRID:
+        return True
+    if sum(not r.text() for r in rows) > BLANK_ROWS * len(rows) or sum(filled) < FILLED * len(filled):
+        return True
+    return sum(map(is_page_like, cells)) * 2 >= len(cells)
+
+
+def is_page_like(cell: Node) -> bool:
+    inner = [n.tag for n in cell.walk() if n is not cell]
+    return any(t in ("table", "form", "section", "article", "h1", "h2", "h3") for t in inner) or inner.count("p") >= 2 or len(cell.text()) >= LONG_CELL
+
+
+def is_complex(table: Node) -> bool:
+    """A table that pipes cannot say: spans or tables within."""
+    return any(n.tag == "table" and n is not table or n.tag in ("td", "th") and (span(n, "colspan") > 1 or span(n, "rowspan") > 1) for n in table.walk())
+
+
+def table_markup(table: Node, base: str) -> str | None:
+    """A table's own markup with nothing but structure, links and pictures; None if it is too long."""
+    out: list[str] = []
+
+    def render(node: Node) -> None:
+        a, tag = node.attrs, node.tag
+        target = absolute(a.get("href" if tag == "a" else "src", ""), base) if tag in ("a", "img") and a.get("href" if tag == "a" else "src") else None
+        keep = tag in TABLE_TAGS and (tag not in ("a", "img") or target is not None and not tiny(node))
+        if keep:
+            kept = {k: a[k] for k in TABLE_ATTRIBUTES if k in a} | ({"href" if tag == "a" else "src": target} if target else {})
+            out.append(f"<{tag}" + "".join(f' {k}="{entities.escape(v)}"' for k, v in kept.items()) + ">")
+        elif tag in BLOCK and out and not out[-1].startswith("<t"):
+            out.append("<br>")
+        for k in node.kids:
+            if isinstance(k, str):
+                out.append(entities.escape(re.sub(r"\s+", " ", k), quote=False))
+            elif k.tag not in SKIP:
+                render(k)
+        if keep and tag not in ("br", "img"):
+            out.append(f"</{tag}>")
+
+    render(table)
+    markup = re.sub(r"(?:<br>\s*){2,}", "<br>", "".join(out))
+    markup = re.sub(r"\s*<br>\s*(?=</t[dh]>)", "", markup).strip()
+    return markup if len(markup.encode()) <= TABLE_MARKUP else None
+
+
+def tiny(image: Node) -> bool:
+    return any((v := image.attrs.get(k, "")).isdigit() and int(v) < LEAST_PICTURE for k in ("width", "height"))
+
+
+def largest(srcset: str) -> str | None:
+    """The candidate of a srcset with the greatest width or density."""
+    best, most = None, -1.0
+    for part in re.split(r",\s+|,(?=https?:|/)", srcset.strip()):
+        words = part.split()
+        if words and not words[0].startswith("data:"):
+            size = re.fullmatch(r"(\d+(?:\.\d+)?)[wx]", words[1]) if len(words) > 1 else None
+            if (value := float(size[1]) if size else 0.0) > most:
+                best, most = words[0].rstrip(","), value
+    return best
+
+
+def picture_source(image: Node) -> str | None:
+    a = image.attrs
+    sets = [a[k] for k in ("srcset", "data-srcset") if a.get(k)]
+    if image.up is not None and image.up.tag == "picture":
+        sets += [k.attrs["srcset"] for k in image.up.elements() if k.tag == "source" and k.attrs.get("srcset")]
+    plain = next((a[k] for k in ("src", "data-src", "data-lazy-src", "data-original") if a.get(k) and not a[k].startswith("data:")), None)
+    return next((x for x in map(largest, sets) if x), None) or plain
+
+
+def code_language(node: Node) -> str | None:
+    for n in (node, *(k for k in node.walk() if k.tag == "code" and k is not node)):
+        for key in ("data-language", "data-lang"):
+            if n.attrs.get(key, "").strip():
+                found = n.attrs[key].strip().lower()
+                return None if found in NO_LANGUAGE else found
+        classes = n.classes()
+        for i, c in enumerate(classes):
+            found = next((c[len(p) :] for p in ("language-", "lang-", "highlight-") if c.startswith(p) and len(c) > len(p)), None)
+            if c == "brush:" and i + 1 < len(classes):
+                found = classes[i + 1].rstrip(";")
+            if found:
+                return None if found.lower() in NO_LANGUAGE else found
+    return None
+
+
+#: Where an editor's lines stand: the class of their holder and of each line, and the attribute that names the language.
+EDITOR_LINES = {"cm-editor": ("cm-content", "cm-line"), "CodeMirror": ("CodeMirror-code", "CodeMirror-line"), "monaco-editor": ("view-lines", "view-line"), "ace_editor": ("ace_text-layer", "ace_line")}
+
+
+def editor_code(node: Node) -> tuple[str, str | None] | None:
+    """Text and language of a browser-side code editor: its lines in order, without gutters and layers."""
+    kind = next((c for c in node.classes() if c in EDITORS), None)
+    if kind is None:
+        return None
+    holder_class, line_class = EDITOR_LINES[kind]
+    holder = next((n for n in node.walk() if holder_class in n.classes()), None)
+    lines = [n for n in holder.walk() if line_class in n.classes()] if holder else []
+    if kind == "monaco-editor":  # drawn in the order of painting
+
+        def top(n: Node) -> float:
+            m = re.search(r"(?:^|;)\s*top\s*:\s*(-?[\d.]+)px", n.attrs.get("style", ""))
+            return float(m[1]) if m else 0.0
+
+        lines.sort(key=top)
+    text = "\n".join(raw_text(n).replace("\xa0", " ").rstrip() for n in lines).strip("\n")
+    near = [holder, node, *list(node.ups())[:4]] if holder else [node]
+    declared = next((n.attrs[k].strip().lower() for n in near for k in ("data-language", "data-lang", "data-mode-id", "language") if n.attrs.get(k, "").strip()), None)
+    return text, declared or code_language(node)
+
+
+def raw_text(node: Node) -> str:
+    """Text as written, with br as a newline."""
+    out, stack = [], list(reversed(node.kids))
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k.tag == "br":
+            out.append("\n")
+        elif k.tag != "button":
+            stack.extend(reversed(k.kids))
+    return "".join(out)
+
+
+def svg_labels(svg: Node) -> list[str]:
+    return [t for n in svg.walk() if n.tag in ("text", "foreignobject") and (t := n.text())]
+
+
+BLANK = {"region": None, "widget": None, "in_main": False, "article": None, "body_of": None, "float_of": None, "templated": None, "aside": None, "quoted": 0, "kind": "paragraph", "level": 0, "ordered": False, "depth": 0}
+KEPT = tuple(BLANK)
 
 
 class Blocks:
@@ -266,32 +357,50 @@ class Blocks:
     def __init__(self, root: Node, base: str):
         self.base, self.out, self.plain, self.rich = base, [], [], []
         body = first(root, "body") or root
+        self.words = max(1, body.size)
         self.order = {id(n): i for i, n in enumerate(root.walk())}
-        self.visit(body, {"region": None, "widget": None, "in_main": False, "article": None, "quoted": 0, "kind": "paragraph", "level": 0, "ordered": False, "depth": 0, "node": body})
-        self.flush({"region": None, "widget": None, "in_main": False, "article": None, "quoted": 0, "kind": "paragraph", "level": 0, "ordered": False, "depth": 0, "node": body})
+        self.hidden_code: list[dict] = []
+        context = BLANK | {"node": body}
+        self.visit(body, context)
+        self.flush(context)
+        self.complete_editors()
 
     def emit(self, context: dict, **fields) -> None:
         node = context["node"]
-        row = {"text": "", "tag": node.tag, "xpath": node.xpath(), "dom_index": self.order[id(node)], "href": None, "alt": None, "language": None, "rows": None, "rich_text": ""}
-        row |= {k: context[k] for k in ("kind", "level", "ordered", "region", "widget", "in_main", "article", "quoted", "depth")} | fields
+        row = {"text": "", "tag": node.tag, "xpath": node.xpath(), "dom_index": self.order.get(id(node), 0), "href": None, "alt": None, "link": None, "language": None, "rows": None, "rich_rows": None, "table_html": None, "rich_text": ""}
+        for k in KEPT:
+            row[k] = context[k]
+        row.update(fields)
         row["rich_text"] = row["rich_text"] or row["text"]
         self.out.append(row)
 
     def flush(self, context: dict) -> None:
+        if not self.plain:
+            return
         text, rich = fold("".join(self.plain)), fold("".join(self.rich))
         self.plain, self.rich = [], []
-        if text:
-            links = re.findall(r"\]\(([^()\s]*)\)", rich)
-            for part, rich_part in zip(re.split(r"\n\n+", text), re.split(r"\n\n+", rich), strict=False) if text.count("\n\n") == rich.count("\n\n") else [(text, rich)]:
-                self.emit(context, text=part, rich_text=rich_part, href=links[0] if links else None)
+        if not text:
+            return
+        link = re.search(r"\]\(([^()\s]*)\)", rich)
+        href = link[1] if link else None
+        if "\n\n" in text and text.count("\n\n") == rich.count("\n\n"):
+            for part, rich_part in zip(text.split("\n\n"), rich.split("\n\n"), strict=True):
+                self.emit(context, text=part, rich_text=rich_part, href=href)
+        else:
+            self.emit(context, text=text, rich_text=rich, href=href)
 
     def add(self, text: str, rich: str | None = None) -> None:
         self.plain.append(text)
         self.rich.append(text if rich is None else rich)
 
     def inline(self, node: Node, context: dict) -> None:
-        wrap = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "del": "~~", "s": "~~"}.get(node.tag)
-        if any(isinstance(k, Node) and k.tag in BLOCK for k in node.walk() if k is not node) or any(k.tag == "img" for k in node.walk()):
+        tag = node.tag
+        if node.blocky or node.pictured:
+            for kid in node.kids:
+                self.visit_kid(kid, context)
+            return
+        wrap = WRAPS.get(tag)
+        if wrap is None and tag not in ("a", "sup", "sub"):
             for kid in node.kids:
                 self.visit_kid(kid, context)
             return
@@ -300,100 +409,222 @@ class Blocks:
             self.visit_kid(kid, context)
         text, rich = "".join(self.plain), "".join(self.rich)
         self.plain, self.rich = held, held_rich
-        if node.tag == "a" and node.attrs.get("href") and text.strip():
-            rich = f"[{fold(rich)}]({absolute(node.attrs['href'], self.base) or node.attrs['href']})"
-        elif wrap and text.strip():
-            rich = re.sub(r"^([\s\x00]*)(.*?)([\s\x00]*)$", rf"\1{wrap}\2{wrap}\3", rich.replace("\\", "\\\\"), flags=re.S).replace("\\\\", "\\")
+        if tag in ("sup", "sub"):
+            table = UPPER if tag == "sup" else LOWER
+            if text and all(ord(c) in table for c in text.strip()):
+                text = rich = text.strip().translate(table)
+        elif tag == "a":
+            if node.attrs.get("href") and text.strip():
+                rich = f"[{fold(rich)}]({absolute(node.attrs['href'], self.base) or node.attrs['href']})"
+        elif text.strip():
+            core = rich.strip(" \t\r\n\f\v\x00")
+            at = rich.index(core)
+            rich = f"{rich[:at]}{wrap}{core}{wrap}{rich[at + len(core) :]}"
         self.add(text, rich)
 
     def visit_kid(self, kid, context: dict) -> None:
-        if isinstance(kid, str):
-            self.add(kid)
+        if kid.__class__ is str:
+            self.plain.append(kid)
+            self.rich.append(kid)
         else:
             self.visit(kid, context)
 
+    def image(self, node: Node, context: dict) -> None:
+        src = picture_source(node)
+        if not src or tiny(node):
+            return
+        self.flush(context)
+        anchor = next((u for u in node.ups() if u.tag == "a" and u.attrs.get("href")), None)
+        link = absolute(anchor.attrs["href"], self.base) if anchor is not None and not anchor.text() else None
+        self.emit(context | {"kind": "image", "node": node}, text=fold(node.attrs.get("alt", "")), alt=node.attrs.get("alt"), href=absolute(src, self.base), link=link)
+
+    def media(self, node: Node, context: dict) -> None:
+        src = node.attrs.get("src") or node.attrs.get("data") or next((n.attrs.get("src") for n in node.walk() if n.tag == "source"), None)
+        if node.tag in ("iframe", "embed", "object") and not src:
+            return
+        self.flush(context)
+        self.emit(context | {"kind": "media", "node": node}, text=node.attrs.get("title") or node.attrs.get("aria-label", ""), href=absolute(src, self.base) if src else None)
+
+    def code(self, node: Node, context: dict) -> None:
+        text = raw_text(node).strip("\n")
+        if text.strip():
+            row = {"text": text, "language": code_language(node)}
+            if any(hidden_by(n) in ABSENT for n in (node, *node.ups())):
+                self.hidden_code.append(row)
+            else:
+                self.emit(context | {"kind": "code"}, **row)
+
+    def table(self, node: Node, context: dict) -> None:
+        depth = header_depth(node)
+        rows = collapse_header([r for r in grid(node) if any(r)], depth)
+        if not rows:
+            return
+        rich = collapse_header([r for r in grid(node, self.cell_rich) if any(r)], depth)
+        caption = next((k.text() for k in node.elements() if k.tag == "caption"), "")
+        flat = "\n".join(" | ".join(r) for r in rows)
+        self.emit(context | {"kind": "table"}, text=f"{caption}\n{flat}" if caption else flat, rows=rows, rich_rows=rich if len(rich) == len(rows) and rich != rows else None, table_html=table_markup(node, self.base) if is_complex(node) else None)
+
+    def cell_rich(self, cell: Node) -> str:
+        held = self.plain, self.rich
+        self.plain, self.rich, out = [], [], []
+        stack = list(reversed(cell.kids))
+        while stack:
+            k = stack.pop()
+            if isinstance(k, str):
+                self.add(k)
+            elif k.tag == "table" or k.tag in SKIP:
+                continue
+            elif k.tag in BLOCK or k.tag == "br":
+                self.add(" ")
+                stack.append(" ")
+                stack.extend(reversed(k.kids))
+            elif k.tag == "img":
+                src = picture_source(k)
+                if src and not tiny(k):
+                    self.add("", f"![{fold(k.attrs.get('alt', ''))}]({absolute(src, self.base)})")
+            elif k.blocky or k.pictured:
+                stack.extend(reversed(k.kids))
+            else:
+                self.inline(k, BLANK | {"node": cell})
+        out = fold("".join(self.rich))
+        self.plain, self.rich = held
+        return out
+
+    def is_code_header(self, node: Node) -> bool:
+        """The strip above a code block: a few words with a control, or nothing but labels."""
+        if node.size > HEADER_WORDS or node.up is None:
+            return False
+        kids = node.up.elements()
+        at = next(i for i, k in enumerate(kids) if k is node)
+        if at + 1 >= len(kids) or kids[at + 1].tag != "pre" or not node.text():
+            return False
+        if any(n.tag == "button" or n.attrs.get("role") == "button" or n.tag == "a" and n.attrs.get("href", "#").startswith(("#", "javascript:")) for n in node.walk()):
+            return True
+        known = LANGUAGES | CODE_CONTROLS | {(code_language(kids[at + 1]) or "").lower()}
+        return node.tag != "p" and all(t.strip(":").lower() in known for t in node.text().split())
+
     def visit(self, node: Node, context: dict) -> None:
         tag = node.tag
-        if tag in SKIP or hidden(node):
+        if tag in SKIP or node.attrs.get("aria-hidden") == "true":
             return
         if tag == "br":
             self.add(MARK)
             return
         if tag == "img":
-            src = node.attrs.get("src") or node.attrs.get("data-src") or ""
-            if src and not src.startswith("data:") and node.attrs.get("width") not in ("0", "1"):
+            self.image(node, context)
+            return
+        if tag == "svg":
+            labels = svg_labels(node)
+            if len(labels) >= DIAGRAM_LABELS or sum(len(x.split()) for x in labels) >= DIAGRAM_WORDS:
                 self.flush(context)
-                self.emit(context | {"kind": "image", "node": node}, text=node.attrs.get("alt", ""), alt=node.attrs.get("alt"), href=absolute(src, self.base))
+                self.emit(context | {"kind": "paragraph", "node": node}, text=", ".join(dict.fromkeys(labels)))
             return
-        if tag == "math":
-            if formula := latex(node):
-                mark = "$$" if node.attrs.get("display") == "block" else "$"
-                self.add(f"{mark}{formula}{mark}")
+        if tag in ("video", "audio", "iframe", "embed", "object"):
+            self.media(node, context)
             return
         if tag == "select":
-            choices = [n.text() for n in node.walk() if n.tag == "option"]
-            if any(choices):
+            choices = [t for n in node.walk() if n.tag == "option" and (t := n.text())]
+            if choices:
                 self.flush(context)
-                self.emit(context | {"kind": "paragraph", "widget": "select", "node": node}, text=", ".join(c for c in choices if c))
+                self.emit(context | {"kind": "paragraph", "widget": "select", "node": node}, text=" · ".join(choices))
+            return
+        if tag == "button":
+            if HIDDEN_BY in node.attrs:  # a control that readers do not see
+                return
+            self.flush(context)
+            for kid in node.kids:
+                self.visit_kid(kid, context | {"node": node})
+            self.flush(context | {"node": node})
             return
         if tag not in BLOCK and tag != "#document":
             self.inline(node, context)
             return
         self.flush(context)
-        here = context | {"node": node, "depth": context["depth"] + 1}
+        attrs = node.attrs
+        here = context.copy()
+        here["node"], here["depth"] = node, context["depth"] + 1
         mark = landmark(node)
         if mark == "main":
             here["in_main"], here["region"] = True, None
         elif mark and not (mark == "header" and (context["article"] or context["in_main"])):
             here["region"] = mark
-        here["widget"] = widget(node) or context["widget"]
+        if attrs:
+            if context["widget"] is None:
+                here["widget"] = widget(node, self.words)
+            if context["body_of"] is None and names_body(node):
+                here["body_of"] = node.xpath()
+            if FLOATS in attrs and context["float_of"] is None:
+                here["float_of"] = node.xpath()
+            for name in TEMPLATES:
+                if name in attrs:
+                    here["templated"] = name
+                    break
+            if "class" in attrs and not EDITORS.isdisjoint(node.classes()) and (found := editor_code(node)) is not None:
+                if found[0].strip():
+                    self.emit(here | {"kind": "code"}, text=found[0], language=found[1], alt="editor")
+                return
         if tag == "article":
             here["article"] = context["article"] or node.xpath()
-        if m := HEADING.match(tag):
-            here |= {"kind": "heading", "level": int(m[1])}
-        elif tag in ("ul", "ol"):
-            here |= {"ordered": tag == "ol", "level": context["level"] + 1 if context["kind"] == "list-item" else 1}
+        elif tag == "aside":
+            here["aside"] = node.xpath()
+        if tag in ("div", "p", "header", "figcaption") and node.size and self.is_code_header(node):
+            return
+        if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit():
+            here["kind"], here["level"] = "heading", int(tag[1])
+        elif tag in ("ul", "ol", "menu"):
+            here["ordered"], here["level"] = tag == "ol", context["level"] + 1 if context["kind"] == "list-item" else 1
         elif tag == "li":
             here["kind"] = "list-item"
             here["level"] = max(1, context["level"]) if context["kind"] != "heading" else 1
         elif tag in ("dt", "dd"):
-            here |= {"kind": "list-item", "level": 0}
+            here["kind"], here["level"] = "list-item", 0
         elif tag == "blockquote":
-            here |= {"kind": "quote" if context["kind"] == "paragraph" else context["kind"], "quoted": context["quoted"] + 1}
+            here["kind"], here["quoted"] = "quote" if context["kind"] == "paragraph" and not node.blocky else context["kind"], context["quoted"] + 1
+            if context["kind"] == "paragraph" and not any(n.tag in ("ul", "ol", "pre", "table", "dl") or n.tag[:1] == "h" and n.tag[1:].isdigit() for n in node.walk()):
+                here["kind"] = "quote"
         elif tag == "figcaption":
             here["kind"] = "figure-caption"
         elif tag == "hr":
             self.emit(here | {"kind": "rule"})
             return
         elif tag == "pre":
-            text = "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else "" for k in flat(node)).strip("\n")
-            language = next((w[9:] for n in node.walk() for w in n.attrs.get("class", "").split() if w.startswith("language-")), None)
-            if text.strip():
-                self.emit(here | {"kind": "code"}, text=text, language=language)
-            return
-        elif tag in ("video", "audio"):
-            src = node.attrs.get("src") or next((n.attrs.get("src") for n in node.walk() if n.tag == "source"), None)
-            self.emit(here | {"kind": "media"}, text=node.attrs.get("title", ""), href=absolute(src, self.base) if src else None)
+            self.code(node, here)
             return
         elif tag == "table" and not is_layout(node):
-            rows = grid(node)
-            self.emit(here | {"kind": "table"}, text="\n".join(" | ".join(r) for r in rows), rows=rows)
+            self.table(node, here)
             return
         for kid in node.kids:
             self.visit_kid(kid, here)
         self.flush(here)
 
+    def complete_editors(self) -> None:
+        """An editor draws the lines in view; the hidden source that starts with them, or holds them, is the whole."""
+        sources = list(self.hidden_code)
+        for row in self.out:
+            if row["kind"] == "code" and row["alt"] == "editor":
+                row["alt"] = None
+                drawn = row["text"].strip()
+                found = next((s for s in sources if len(s["text"]) > len(drawn) and s["text"].strip().startswith(drawn)), None)
+                if found:
+                    sources.remove(found)
+                    row["text"] = row["rich_text"] = found["text"]
 
-def flat(node: Node):
-    for k in node.kids:
-        yield k
-        if isinstance(k, Node):
-            yield from flat(k)
 
+@functools.lru_cache(maxsize=8)
+def origin(base: str) -> str | None:
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", base)
+    return m[0] if m else None
 
+
+@functools.lru_cache(maxsize=1 << 14)
 def absolute(href: str, base: str) -> str | None:
+    href = href.strip()
+    if not base:
+        return href
+    if href[:1] == "/" and href[1:2] != "/" and "/." not in href and (at := origin(base)):
+        return at + href
     try:
-        return urljoin(base, href.strip()) if base else href.strip()
+        return urljoin(base, href)
     except ValueError:
         return None
 
@@ -401,11 +632,12 @@ def absolute(href: str, base: str) -> str | None:
 def links(root: Node, base: str) -> list[dict]:
     """Anchors in order, nofollow ones left out: href (absolute), anchor text of at most 160 characters, region."""
     out = []
+    regions: dict[int, str | None] = {}
     for n in root.walk():
+        own = landmark(n) if n.tag in ("nav", "footer", "aside", "main", "header") or "role" in n.attrs else None
+        regions[id(n)] = own or (regions.get(id(n.up)) if n.up is not None else None)
         if n.tag == "a" and n.attrs.get("href") and "nofollow" not in n.attrs.get("rel", "").lower().split():
-            up, region = n.up, None
-            while up and region is None:
-                region, up = landmark(up), up.up
+            region = regions[id(n)]
             out.append({"pos": len(out), "raw": n.attrs["href"], "href": absolute(n.attrs["href"], base), "anchor": n.text()[:160], "region": region})
     return out
 
@@ -413,21 +645,30 @@ def links(root: Node, base: str) -> list[dict]:
 def metadata(root: Node, base: str) -> dict[str, str]:
     """Head fields by name: title, description, canonical, lang, and every named meta under its own name."""
     metas: dict[str, str] = {}
+    out: dict[str, str] = {"title": "", "description": ""}
+    titled, rest = False, {}
     for n in root.walk():
-        if n.tag == "meta":
-            name = (n.attrs.get("property") or n.attrs.get("name") or n.attrs.get("itemprop") or ("charset" if "charset" in n.attrs else "")).lower()
+        tag, a = n.tag, n.attrs
+        if tag == "title" and not titled:
+            out["title"], titled = n.text(), True
+        elif tag == "meta":
+            name = (a.get("property") or a.get("name") or a.get("itemprop") or ("charset" if "charset" in a else "")).lower()
             if name and name not in metas:
-                metas[name] = fold(n.attrs.get("content", n.attrs.get("charset", "")))
-    title = first(root, "title")
-    out = {"title": title.text() if title else "", "description": metas.get("description") or metas.get("og:description") or metas.get("twitter:description") or ""}
-    for n in root.walk():
-        rel = n.attrs.get("rel", "").lower().split() if n.tag == "link" else []
-        if "canonical" in rel and "canonical" not in out:
-            out["canonical"] = absolute(n.attrs.get("href", ""), base) or ""
-        if "alternate" in rel and n.attrs.get("hreflang"):
-            out[f"hreflang:{n.attrs['hreflang']}"] = absolute(n.attrs.get("href", ""), base) or ""
-    html = first(root, "html")
-    out["lang"] = html.attrs.get("lang", "") if html else ""
+                metas[name] = fold(a.get("content", a.get("charset", "")))
+        elif tag == "link":
+            rel = a.get("rel", "").lower().split()
+            if "canonical" in rel:
+                rest.setdefault("canonical", absolute(a.get("href", ""), base) or "")
+            if "alternate" in rel and a.get("hreflang"):
+                rest[f"hreflang:{a['hreflang']}"] = absolute(a.get("href", ""), base) or ""
+            if "icon" in rel:
+                rest.setdefault("icon", absolute(a.get("href", ""), base) or "")
+            if "next" in rel or "prev" in rel:
+                rest.setdefault("rel:next" if "next" in rel else "rel:prev", absolute(a.get("href", ""), base) or "")
+        elif tag == "html":
+            rest.setdefault("lang", a.get("lang", ""))
+    out["description"] = metas.get("description") or metas.get("og:description") or metas.get("twitter:description") or ""
+    out |= {"lang": ""} | rest
     return out | {k: v for k, v in metas.items() if k not in out and v}
 
 
@@ -436,7 +677,7 @@ def loads(raw: str):
     for text in (raw, re.sub(r",\s*([}\]])", r"\1", raw)):
         try:
             return json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     return None
 
@@ -462,13 +703,20 @@ def balanced(text: str, start: int) -> str | None:
 
 
 def json_ld(data) -> list:
-    """Nodes of a JSON-LD value: arrays and @graph unwrapped."""
-    if isinstance(data, list):
-        return [x for d in data for x in json_ld(d)]
-    if isinstance(data, dict) and "@graph" in data:
-        rest = {k: v for k, v in data.items() if k not in ("@graph", "@context")}
-        return ([rest] if rest.get("@type") else []) + json_ld(data["@graph"])
-    return [data] if isinstance(data, dict) else []
+    """Nodes of a JSON-LD value: arrays and @graph unwrapped, however deep."""
+    out, stack = [], [data]
+    while stack:
+        d = stack.pop()
+        if isinstance(d, list):
+            stack.extend(reversed(d))
+        elif isinstance(d, dict) and "@graph" in d:
+            rest = {k: v for k, v in d.items() if k not in ("@graph", "@context")}
+            if rest.get("@type"):
+                out.append(rest)
+            stack.append(d["@graph"])
+        elif isinstance(d, dict):
+            out.append(d)
+    return out
 
 
 def microdata(scope: Node) -> dict:
@@ -493,7 +741,7 @@ def microdata(scope: Node) -> dict:
 STATES = {"__NUXT__": "nuxt", "__INITIAL_STATE__": "initial-state", "__APOLLO_STATE__": "initial-state", "__PRELOADED_STATE__": "initial-state"}
 
 
-def payloads(root: Node, html: str) -> list[dict]:
+def payloads(root: Node, html: str, meta: dict[str, str] | None = None) -> list[dict]:
     """Structured data in order of trust: JSON-LD, microdata, framework data, initial states, Open Graph."""
     out = []
     scripts = [n for n in root.walk() if n.tag == "script"]
@@ -515,29 +763,52 @@ def payloads(root: Node, html: str) -> list[dict]:
         for m in re.finditer(rf"window\.{name}\s*=\s*(?=[{{\[])", html):
             if (found := balanced(html, m.end())) and (data := loads(found)) is not None:
                 out.append((source, data))
-    social = {k: v for k, v in metadata(root, "").items() if k.startswith(("og:", "twitter:", "article:", "product:"))}
+    social = {k: v for k, v in (meta or metadata(root, "")).items() if k.startswith(("og:", "twitter:", "article:", "product:"))}
     if social:
         out.append(("open-graph", social))
-    return [{"seq": i, "source": s, "data": json.dumps(d, ensure_ascii=False, sort_keys=True)} for i, (s, d) in enumerate(out)]
+    said = [(s, text) for s, d in out if (text := dumps(d)) is not None]
+    return [{"seq": i, "source": s, "data": text} for i, (s, text) in enumerate(said)]
+
+
+def dumps(data) -> str | None:
+    """JSON of a payload; None if it is nested too deep to be written."""
+    try:
+        return json.dumps(data, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        return None
 
 
 def stats(root: Node) -> dict:
-    nodes = [n for n in root.walk() if n.up]
-    return {
-        "elements": len(nodes),
-        "class_tokens": sum(len(n.attrs.get("class", "").split()) for n in nodes),
-        "itemprops": sum("itemprop" in n.attrs for n in nodes),
-        "rel_next": any("next" in n.attrs.get("rel", "").lower().split() for n in nodes),
-        "scripts": sum(n.tag == "script" for n in nodes),
-        "images": sum(n.tag == "img" for n in nodes),
-        "anchors": sum(n.tag == "a" for n in nodes),
-        "hidden_words": sum(len(n.text().split()) for n in nodes if hidden(n) and not any(hidden(u) for u in ups(n))),
-    }
+    out = {"elements": 0, "class_tokens": 0, "itemprops": 0, "rel_next": False, "scripts": 0, "images": 0, "anchors": 0}
+    for n in root.walk():
+        if n.up is None:
+            continue
+        out["elements"] += 1
+        tag, a = n.tag, n.attrs
+        if tag in ("script", "img", "a"):
+            out[{"script": "scripts", "img": "images", "a": "anchors"}[tag]] += 1
+        if a:
+            out["class_tokens"] += len(n.classes())
+            out["itemprops"] += "itemprop" in a
+            out["rel_next"] = out["rel_next"] or "next" in a.get("rel", "").lower().split()
+    return out | {"hidden_words": hidden_words(root)}
+
+
+def hidden_words(root: Node) -> int:
+    """Words of the outermost hidden elements."""
+    total, stack = 0, [root]
+    while stack:
+        n = stack.pop()
+        if hidden_by(n):
+            total += n.size
+        else:
+            stack.extend(n.elements())
+    return total
 
 
-def ups(node: Node):
-    while (node := node.up) is not None:
-        yield node
+# Languages and scripts written from right to left.
+RTL_LANGUAGES = set("ar arc ckb dv fa he iw ji ks ku nqo prs ps sd syr ug ur yi".split())
+RTL_SCRIPTS = set("adlm arab hebr mand nkoo rohg samr syrc thaa yezi".split())
 
 
 def is_rtl(root: Node) -> bool:
@@ -546,4 +817,4 @@ def is_rtl(root: Node) -> bool:
         if (n := first(root, tag)) and n.attrs.get("dir", "").lower() in ("rtl", "ltr"):
             return n.attrs["dir"].lower() == "rtl"
     lang = (first(root, "html") or root).attrs.get("lang", "").lower()
-    return lang.split("-")[0] in {"ar", "he", "fa", "ur", "yi", "ps", "sd", "ug", "dv"} or "arab" in lang.split("-") or "hebr" in lang.split("-")
+    return lang.split("-")[0] in RTL_LANGUAGES or bool(RTL_SCRIPTS & set(lang.split("-")))

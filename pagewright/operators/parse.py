@@ -11,7 +11,8 @@ from pagewright.functions import text as T
 
 BLOCK = pa.struct(
     [("pos", pa.int32()), ("text", pa.string()), ("rich_text", pa.string()), ("tag", pa.string()), ("xpath", pa.string()), ("dom_index", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("level", pa.int32())]
-    + [("ordered", pa.bool_()), ("href", pa.string()), ("alt", pa.string()), ("language", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("region", pa.string()), ("widget", pa.string()), ("quoted", pa.int32()), ("in_main", pa.bool_()), ("article", pa.string())]
+    + [("ordered", pa.bool_()), ("href", pa.string()), ("alt", pa.string()), ("link", pa.string()), ("language", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("rich_rows", pa.list_(pa.list_(pa.string()))), ("table_html", pa.string()), ("region", pa.string()), ("widget", pa.string())]
+    + [("quoted", pa.int32()), ("in_main", pa.bool_()), ("article", pa.string()), ("body_of", pa.string()), ("float_of", pa.string()), ("templated", pa.string()), ("aside", pa.string())]
 )
 LINK = pa.struct([("pos", pa.int32()), ("raw", pa.string()), ("href", pa.string()), ("anchor", pa.string()), ("region", pa.string())])
 PAYLOAD = pa.struct([("seq", pa.int32()), ("source", pa.string()), ("data", pa.string())])
@@ -20,13 +21,16 @@ FIELDS = [("error", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), (
 
 
 def read_page(html: str | None, url: str | None) -> dict:
+    """Everything a page holds; one that cannot be read gives its error alone and harms no other."""
     try:
-        root = H.tree(html)
-    except ValueError as e:
-        return {"error": str(e), "meta": [], "rtl": False, "blocks": [], "links": [], "payloads": [], "stats": None}
-    base = url or ""
-    blocks = [b | {"pos": i} for i, b in enumerate(H.Blocks(root, base).out)]
-    return {"error": None, "meta": list(H.metadata(root, base).items()), "rtl": H.is_rtl(root), "blocks": blocks, "links": H.links(root, base), "payloads": H.payloads(root, html), "stats": H.stats(root)}
+        root, base = H.tree(html), url or ""
+        blocks = H.Blocks(root, base).out
+        for i, b in enumerate(blocks):
+            b["pos"] = i
+        meta = H.metadata(root, base)
+        return {"error": None, "meta": list(meta.items()), "rtl": H.is_rtl(root), "blocks": blocks, "links": H.links(root, base), "payloads": H.payloads(root, html, meta), "stats": H.stats(root)}
+    except Exception as e:  # whatever a page of the web provokes
+        return {"error": str(e) or type(e).__name__, "meta": [], "rtl": False, "blocks": [], "links": [], "payloads": [], "stats": None}
 
 
 def _ddl(kind: pa.DataType) -> str:
