@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
 from pagewright.operators import answers, assemble, classify, signals, site, walls
 from pagewright.streaming.state import stream_chrome
 
@@ -143,3 +144,12 @@ def test_all_edge_types(spark):
     assert {k[:2] for k in got if k[2] == "back-link"} == {(a, b) for a in q for b in ("p0", "p1")}
     assert {k[:2]: w for k, w in got.items() if k[2] == "url-parent"} == {(a, b): 0.5 for a in q for b in ("p0", "p1")}
     assert {k[:2] for k in got if k[2] == "mention"} == {x for a in ("p0", "q0", "q2") for x in ((a, "entity:e"), ("entity:e", a))}
+
+
+def test_noise(spark):
+    noise = ["12/03/2024", "2024-03-12T10:15:00Z", "March 3rd, 2024", "3 Sept. 2023", "Last updated on 5 May 2021", "10:45 pm", "1,234 visitors", "Page views: 88", "3 users online", "5 minutes ago", "just now", "© 2019-2024 Acme", "Copyright 2020", "17000", "1,234,567", "posted 2 days ago by Al"]
+    content = ["", "Nothing here changes at all", "12 apples", "May the road rise", "It was published in a journal of record on 3 May 2020 with comments", "Section 4", "Visitors are welcome"]
+    df = spark.createDataFrame([(t, True) for t in noise] + [(t, False) for t in content], "t string, want boolean")
+    assert [r.t for r in df.select("t", "want", T.is_noise(F.col("t")).alias("got")).where("got <> want").collect()] == []
+    counts = spark.createDataFrame([("漢字かな 한국 word",), ("ไทย x",), ("豈 a b",)], "t string").select(T.word_count(F.col("t"))).collect()
+    assert [r[0] for r in counts] == [7, 4, 3]
