@@ -9,6 +9,10 @@ longest increasing chain of matches. Similarity is matches / (both lengths - mat
 Texts with equal words are one class from the start and only its least id goes on. Links are found within buckets, in
 tiles of bounded size, with a disjoint-set forest, so a bucket of n documents gives fewer than n links; their connected
 components are computed as joins. No candidate, bucket or document is dropped.
+
+A bucket too large for one tile first meets a few of its members, its leaders, chunk by chunk. What links to them is a
+class already, and only members of different classes, or of none, are compared in pairs of chunks afterwards: a bucket of
+near copies of one text costs as many comparisons as it has members, not their square.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ TABLES, TUPLE = 12, 3
 SIGNATURE, AGREE = 64, 38
 #: Members, and shingles, of a bucket that a tile may hold; larger buckets are cut into pairs of chunks.
 TILE_DOCS, TILE_SHINGLES = 512, 4_000_000
+#: Leaders of a large bucket; a class of fewer of its members than SMALL_CLASS has no chunks of its own.
+LEADERS, SMALL_CLASS = 8, 128
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 WORDS_KEPT = 100_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -130,54 +136,109 @@ def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(map_batches(kept, kernel, "id long, key binary, n int, keys array<long>, signature binary"), "neardup-features")
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """(bucket, tile, side, id): each member once, or in buckets of several chunks once for each pair of chunks."""
-    size = F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    chunk = F.pmod(F.xxhash64("id", F.lit(3)), F.col("size")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("size") - 1))
-    m = members.withColumn("size", size).withColumn("chunk", chunk).withColumn("other", other)
-    tile = F.least("chunk", "other") * F.col("size") + F.greatest("chunk", "other")
-    return m.select("bucket", tile.alias("tile"), "id")
+def _chunks():
+    """Chunks that a group of `docs` members with `shingles` fills."""
+    return F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+
+
+def _leader_tiles(large: DataFrame) -> DataFrame:
+    """(bucket, tile, id, leads): each chunk of a large bucket with the bucket's leaders, which are its least members by hash."""
+    pick = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
+    leaders = staged(large.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= LEADERS).select("bucket", "id", "docs", "shingles"), "leaders")
+    everywhere = leaders.select("bucket", "id", F.explode(F.sequence(F.lit(0).cast("long"), _chunks().cast("long") - 1)).alias("tile"), F.lit(True).alias("leads"))
+    others = large.join(broadcast_if_small(leaders.select("bucket", "id")), ["bucket", "id"], "left_anti")
+    chunk = F.pmod(F.xxhash64("id", F.lit(3)), _chunks()).cast("long")
+    return everywhere.select("bucket", "tile", "id", "leads").unionByName(others.select("bucket", chunk.alias("tile"), "id", F.lit(False).alias("leads")))
+
+
+def _class_tiles(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, tile, id, unit): members of large buckets once for each pair of chunks that may hold new links.
+
+    A class of enough members has chunks of its own, which meet all others but each other; all other members share the
+    chunks of unit -1, which meet themselves, too.
+    """
+    known = large.join(broadcast_if_small(classes.select("id", F.col("least").alias("unit"))), "id", "left").withColumn("unit", F.coalesce("unit", F.lit(-1)))
+    known = staged(known.select("bucket", "id", "n", "unit"), "units")
+    great = known.where("unit >= 0 or unit < -1").groupBy("bucket", "unit").count().where(F.col("count") >= SMALL_CLASS).select("bucket", "unit", F.lit(True).alias("great"))
+    known = known.join(broadcast_if_small(great), ["bucket", "unit"], "left").select("bucket", "id", "n", F.when(F.col("great"), F.col("unit")).otherwise(-1).alias("unit"))
+    sizes = known.groupBy("bucket", "unit").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("bucket", "unit", _chunks().alias("size"))
+    before = Window.partitionBy("bucket").orderBy("unit")
+    spans = staged(sizes.withColumn("first", F.sum("size").over(before) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy("bucket"))), "spans")
+    m = known.join(broadcast_if_small(spans), ["bucket", "unit"])
+    chunk = (F.col("first") + F.pmod(F.xxhash64("id", F.lit(3)), F.col("size"))).cast("long")
+    mine = F.col("unit") == -1
+    partners = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda c: mine | (c < F.col("first")) | (c >= F.col("first") + F.col("size")))
+    m = m.select("bucket", "id", "unit", "total", chunk.alias("chunk"), F.explode(partners).alias("other"))
+    return m.select("bucket", (F.least("chunk", "other") * F.col("total") + F.greatest("chunk", "other")).alias("tile"), "id", "unit")
+
+
+def _signatures(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(rows.num_rows, SIGNATURE)
+
+
+def _agreeing(signature: np.ndarray, a: int, b: int) -> np.ndarray:
+    return (signature[a:b, None, :] == signature[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
+
+
+def _led(rows: pa.Table) -> pa.RecordBatch | None:
+    """Leaders and members of a tile that have, by signature, a likely link between a leader and another."""
+    ids, leads, signature = rows["id"].to_numpy(), rows["leads"].to_numpy(zero_copy_only=False), _signatures(rows)
+    near = (signature[leads][:, None, :] == signature[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
+    near &= ids[leads][:, None] != ids
+    alive = near.any(0)
+    alive[np.flatnonzero(leads)] |= near.any(1)
+    return _members(rows, alive, "leads")
+
+
+def _members(rows: pa.Table, alive: np.ndarray, *more: str) -> pa.RecordBatch | None:
+    return rows.filter(pa.array(alive)).select(["bucket", "tile", "id", *more]).combine_chunks().to_batches()[0] if alive.any() else None
 
 
 def _plausible(rows: pa.Table) -> pa.RecordBatch | None:
-    """Members of a tile that have, by signature, a likely partner whom they meet in no earlier table."""
+    """Members of a tile that have, by signature, a likely partner of another class whom they meet in no earlier table."""
     n = rows.num_rows
     if n < 2:
         return None
-    ids = rows["id"].to_numpy()
-    signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(n, SIGNATURE)
+    ids, unit, signature = rows["id"].to_numpy(), rows["unit"].to_numpy(), _signatures(rows)
     keys = np.stack(rows["keys"].to_numpy())
     bucket = rows["bucket"][0].as_py()
     table = int(np.flatnonzero(keys[0] == bucket)[0])
     alive = np.zeros(n, bool)
     for a in range(0, n, 64):
         b = min(n, a + 64)
-        near = (signature[a:b, None, :] == signature[None, :, :]).sum(2, dtype=np.uint8) >= AGREE
-        near &= ids[a:b, None] != ids
+        near = _agreeing(signature, a, b)
+        near &= (ids[a:b, None] != ids) & ((unit[a:b, None] == -1) | (unit[a:b, None] != unit))
         i, j = np.nonzero(near)
         if table:
             fresh = ~(keys[a + i, :table] == keys[j, :table]).any(1)
             i = i[fresh]
         alive[a + i] = True
-    if not alive.any():
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(np.full(alive.sum(), bucket)), pa.array(np.full(alive.sum(), rows["tile"][0].as_py(), np.int32)), pa.array(ids[alive])], ["bucket", "tile", "id"])
+    return _members(rows, alive, "unit")
 
 
 def _links(rows: pa.Table) -> pa.RecordBatch | None:
-    """Links of a tile's members that make its similar ones one connected set: a spanning forest of verified pairs."""
+    """Links of a tile's members that make its similar ones one connected set: a spanning forest of verified pairs.
+
+    Members of one class (unit) are connected from the start; of a tile with leaders only pairs with a leader count.
+    """
     n = rows.num_rows
     if n < 2:
         return None
-    ids = rows["id"].to_numpy()
+    ids, signature = rows["id"].to_numpy(), _signatures(rows)
     texts = [np.frombuffer(x, np.uint64) for x in rows["symbols"].to_pylist()]
-    signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(n, SIGNATURE)
     sizes = np.array([len(t) for t in texts])
     _, codes = np.unique(np.concatenate(texts), return_inverse=True)
     coded = np.split(codes, np.cumsum(sizes)[:-1])
     place = np.full(int(codes.max()) + 1, -1, np.int64)
     root = list(range(n))
+    led = "leads" in rows.column_names
+    if led:
+        leads = rows["leads"].to_numpy(zero_copy_only=False)
+    else:
+        unit, at = rows["unit"].to_numpy(), {}
+        for i, u in enumerate(unit.tolist()):
+            if u != -1:
+                root[i] = at.setdefault(u, i)
 
     def find(i):
         while root[i] != i:
@@ -187,8 +248,10 @@ def _links(rows: pa.Table) -> pa.RecordBatch | None:
 
     out = []
     for a in np.argsort(ids, kind="stable").tolist():
+        if led and not leads[a]:
+            continue
         agree = (signature == signature[a]).sum(1, dtype=np.uint8)
-        fits = (agree >= AGREE) & (np.minimum(sizes, sizes[a]) >= SIMILARITY * np.maximum(sizes, sizes[a])) & (ids > ids[a])
+        fits = (agree >= AGREE) & (np.minimum(sizes, sizes[a]) >= SIMILARITY * np.maximum(sizes, sizes[a])) & (ids != ids[a] if led else ids > ids[a])
         near = np.flatnonzero(fits)
         if not len(near):
             continue
@@ -243,28 +306,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = staged(every.where("rep = id and n > 0").select("id", "n", "keys", "signature"), "representatives")
     entries = reps.select("id", "n", F.explode("keys").alias("bucket"))
     shared = staged(entries.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1"), "buckets")
-    members = staged(entries.select("id", "bucket").join(broadcast_if_small(shared), "bucket"), "members")
-    tiles = _tiles(members).join(reps.select("id", "keys", "signature"), "id").select("bucket", "tile", "id", "keys", "signature")
+    members = staged(entries.join(broadcast_if_small(shared), "bucket").select("bucket", "id", "n", "docs", "shingles"), "members")
     by = ("bucket", "tile")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
     def over(kernel):
         return lambda batches: (out for rows in grouped(batches, 2) if (out := kernel(rows)) is not None)
 
-    likely = staged(tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(over(_plausible), "bucket long, tile int, id long"), "likely")
-    wanted = staged(likely.select("id").distinct(), "wanted")
+    def tiled(rows: DataFrame, kernel, schema: str, name: str) -> DataFrame:
+        return staged(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(over(kernel), schema), name)
 
     def symbols(batch):
         shingler = Shingler()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.labelled(shingler.words(t.as_py())).tobytes() for t in batch.column(1)], pa.binary())], ["id", "symbols"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sequences = staged(map_batches(texts.join(broadcast_if_small(wanted), "id").select("id", "text"), symbols, "id long, symbols binary").where("length(symbols) > 0"), "symbols")
-    checked = likely.join(sequences, "id").join(reps.select("id", "signature"), "id").select("bucket", "tile", "id", "symbols", "signature")
-    links = checked.repartition(*by).sortWithinPartitions(*by).mapInArrow(over(_links), "u long, v long")
+    def checked(likely: DataFrame, name: str) -> DataFrame:
+        """Verified links of likely members, whose sequences are made anew from the texts."""
+        wanted = staged(likely.select("id").distinct(), "wanted")
+        sequences = staged(map_batches(texts.join(broadcast_if_small(wanted), "id").select("id", "text"), symbols, "id long, symbols binary").where("length(symbols) > 0"), "symbols")
+        rows = likely.join(sequences, "id").join(reps.select("id", "signature"), "id")
+        links = tiled(rows.select("bucket", "tile", "id", "symbols", "signature", likely.columns[-1]), _links, "u long, v long", name)
+        drop_staged(wanted, sequences)
+        return links
+
+    is_large = (F.col("docs") > TILE_DOCS) | (F.col("shingles") > TILE_SHINGLES)
+    tiles = members.where(~is_large).select("bucket", F.lit(0).cast("long").alias("tile"), "id", F.lit(-1).cast("long").alias("unit"))
+    links = None
+    if members.where(is_large).head(1):
+        large = members.where(is_large)
+        near = _leader_tiles(large).join(reps.select("id", "signature"), "id").select(*by, "id", "leads", "signature")
+        links = checked(tiled(near, _led, "bucket long, tile long, id long, leads boolean", "led"), "leader-links")
+        tiles = tiles.unionByName(_class_tiles(large, components(links)))
+    rows = tiles.join(reps.select("id", "keys", "signature"), "id").select(*by, "id", "unit", "keys", "signature")
+    likely = tiled(rows, _plausible, "bucket long, tile long, id long, unit long", "likely")
+    found = checked(likely, "verified-links")
+    links = found if links is None else links.unionByName(found)
     # Representatives that are one document by their id belong together whatever their texts.
     again = every.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v")).join(reps.select(F.col("id").alias("u")).distinct(), "u", "left_semi")
     classes = components(links.unionByName(again))
-    drop_staged(members, likely, wanted, sequences, shared)
+    drop_staged(members, likely, shared)
     known = every.select("id", "rep").join(broadcast_if_small(classes.select(F.col("id").alias("rep"), "least")), "rep", "left")
     out = known.select(F.col("id").alias("doc_id"), F.coalesce("least", "rep").alias("class_id"))
     lost = df.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))

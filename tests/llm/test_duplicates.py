@@ -131,12 +131,54 @@ def classes_by_hand(docs):
 @pytest.mark.parametrize("seed", range(3))
 def test_near_duplicates_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:
-        monkeypatch.setattr(neardup, "TILE_DOCS", 2)  # every bucket is cut into pairs of chunks
+        monkeypatch.setattr(neardup, "TILE_DOCS", 2)  # every bucket has leaders and is cut into pairs of chunks
+        monkeypatch.setattr(neardup, "LEADERS", 1)
+        monkeypatch.setattr(neardup, "SMALL_CLASS", 2)
     docs = made(seed)
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
     assert {r.doc_id: r.class_id for r in got.collect()} == classes_by_hand(docs)
 
 
+def test_hot_bucket_costs_its_size(spark, monkeypatch):
+    """Near copies of one text in one large bucket are compared with its leaders, not with each other."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    docs = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(250, 400)] = f"x{i}"
+        docs.append((i, " ".join(copy)))
+    monkeypatch.setattr(neardup, "TILE_DOCS", 10)
+    monkeypatch.setattr(neardup, "SMALL_CLASS", 5)
+    seen = []
+    real = neardup._class_tiles
+    monkeypatch.setattr(neardup, "_class_tiles", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert {r.class_id for r in got.collect()} == {0}
+    assert seen[0].count() <= 12 * 120  # pairs of chunks would give each member twelve rows a table
+
+
+@pytest.mark.parametrize("low, high", [(0.8, 0.85), (0.85, 0.9), (0.9, 1.0)])
+def test_recall_by_band(low, high):
+    """Pairs of texts of a similarity in the band that share a bucket and pass the signature: at least 0.99 of them."""
+    rng, met, pairs = random.Random(12), 0, 0
+    while pairs < 150:
+        a = [f"t{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        b = list(a)
+        for _ in range(rng.randrange(1, max(2, len(a) // 45))):
+            b[rng.randrange(len(b))] = f"u{rng.randrange(99)}"
+        s = neardup.Shingler()
+        x, y = s.labelled(a), s.labelled(b)
+        at = {v: i for i, v in enumerate(x.tolist())}
+        if not low <= neardup.aligned(np.array([at.get(v, -1) for v in y.tolist()]), len(y), len(x)) < high:
+            continue
+        (k, sk), (m, sm) = neardup.sketch(x), neardup.sketch(y)
+        pairs += 1
+        met += bool((k == m).any()) and (np.frombuffer(sk, np.uint8) == np.frombuffer(sm, np.uint8)).sum() >= neardup.AGREE
+    assert met >= 0.99 * pairs
+
+
 def test_near_duplicate_edges(spark):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(3, text), (1, text.upper() + " !"), (2, None), (4, ""), (5, "two words"), (6, "Two, words"), (None, text), (3, text), (7, "?!"), (8, "?!"), (9, "z " * 30000), (10, "z " * 30000 + "y")]
