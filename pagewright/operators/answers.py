@@ -115,16 +115,19 @@ def citation_precision(cited: DataFrame, gold: DataFrame) -> DataFrame:
 def json_ld_graph(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """One JSON-LD node per entity with its evidence as web annotations (page, span)."""
     selector = F.struct(F.col("page_id").alias("source"), F.struct(F.lit("TextPositionSelector").alias("type"), "start", "end").alias("selector"))
-    e = mentions.groupBy("entity_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("page_id", "pos", selector.alias("target")))), 1, 20).alias("ev"))
+    few = Window.partitionBy("entity_id").orderBy("page_id", "pos", "start")
+    kept = mentions.withColumn("_n", F.row_number().over(few)).where("_n <= 20")
+    e = kept.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "pos", "start", selector.alias("target")))).alias("ev"))
     node = F.to_json(F.struct(F.concat(F.lit("urn:"), "entity_id").alias("@id"), F.col("type").alias("@type"), "name", F.transform("ev", lambda x: x["target"]).alias("prov:wasDerivedFrom")))
     return entities.join(e, "entity_id").select(node.alias("value"))
 
 
 def batches(rows: DataFrame, by: str, size: int) -> DataFrame:
     """Rows in numbered batches for a writer: about `size` rows each, dealt by hash, so no global order is needed."""
-    n = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy(F.pmod(F.xxhash64(by), F.lit(64)))) / size))
     slot = F.pmod(F.xxhash64(by), F.lit(64))
-    return rows.withColumn("batch", slot * 1_000_000 + F.pmod(F.xxhash64(by, F.lit(1)), n))
+    counts = rows.groupBy(slot.alias("_slot")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("_n"))  # 64 rows
+    dealt = rows.withColumn("_slot", slot).join(F.broadcast(counts), "_slot")
+    return dealt.withColumn("batch", F.col("_slot") * 1_000_000 + F.pmod(F.xxhash64(by, F.lit(1)), F.col("_n"))).drop("_slot", "_n")
 
 
 def is_answer(found: Column, wanted: Column, kind: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
+from pagewright.storage import staged
 
 
 def frontier_step(found: DataFrame, seen: DataFrame, root: Column, depth: int, max_depth: int = 10, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -24,14 +25,17 @@ def crawl(pages: DataFrame, links: DataFrame, root: str, max_depth: int = 3) ->
 
     pages gives the addresses that answer; a level's new keys are those of no level before.
     """
+    known = staged(pages.select(U.canonical_key(F.col("url")).alias("key")).distinct(), "crawl-pages")
     edges = links.select(U.canonical_key(F.col("url")).alias("src"), U.canonical_key(F.col("href")).alias("dst")).distinct()
-    known = pages.select(U.canonical_key(F.col("url")).alias("key")).distinct()
-    reached = known.where(F.col("key") == U.canonical_key(F.lit(root))).select("key", F.lit(0).alias("depth"))
-    front = reached
+    edges = staged(edges.join(known.select(F.col("key").alias("dst")), "dst", "left_semi"), "crawl-edges")
+    front = staged(known.where(F.col("key") == U.canonical_key(F.lit(root))).select("key", F.lit(0).alias("depth")), "crawl-level")
+    reached = front
     for depth in range(1, max_depth + 1):
-        nxt = edges.join(front.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key")).distinct().join(known, "key", "left_semi").join(reached.select("key"), "key", "left_anti")
-        front = nxt.select("key", F.lit(depth).alias("depth"))
+        found = edges.join(front.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key")).distinct()
+        front = staged(found.join(reached.select("key"), "key", "left_anti").select("key", F.lit(depth).alias("depth")), "crawl-level")
         reached = reached.unionByName(front)
+        if not front.head(1):
+            break
     return reached
 
 

@@ -5,7 +5,7 @@ Extraction is by rules (money, dates, addresses, capitalised names); a model can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -25,13 +25,21 @@ PATTERNS = {
 
 
 def mentions(blocks: DataFrame) -> DataFrame:
-    """(entity_id, type, name, norm, page_id, pos, start, end, evidence_id) of each pattern's matches in block texts."""
-    found = None
-    for kind, pattern in PATTERNS.items():
-        m = blocks.select("page_id", "pos", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("name")).withColumn("type", F.lit(kind))
-        found = m if found is None else found.unionByName(m)
-    start = F.expr("locate(name, text) - 1")
-    found = found.withColumn("start", start).withColumn("end", F.col("start") + F.length("name")).withColumn("norm", T.norm_name(F.col("name")))
+    """(entity_id, type, name, norm, page_id, pos, start, end, evidence_id) of every match of each pattern in block
+    texts, in one pass over them."""
+
+    def places(kind: str, pattern: str) -> Column:
+        """Every match with its place: each is looked for after the one before."""
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<type:string,name:string,start:int>>").alias("out"))
+
+        def step(s, m):
+            at = F.call_function("locate", m, F.col("text"), s["at"])
+            return F.struct((at + F.length(m)).alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("type"), m.alias("name"), (at - 1).alias("start")))).alias("out"))
+
+        return F.aggregate(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), start, step, lambda s: s["out"])
+
+    found = blocks.select("page_id", "pos", F.inline(F.concat(*(places(k, p) for k, p in PATTERNS.items()))))
+    found = found.withColumn("end", F.col("start") + F.length("name")).withColumn("norm", T.norm_name(F.col("name")))
     found = found.withColumn("entity_id", T.short_id("ent", F.col("type"), F.col("norm"))).withColumn("evidence_id", T.short_id("ev", F.col("page_id").cast("string"), F.col("pos").cast("string"), F.col("start").cast("string"), F.col("end").cast("string")))
     return found.select("entity_id", "type", "name", "norm", "page_id", "pos", "start", "end", "evidence_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import html as H
 from pagewright.functions import text as T
+from pagewright.storage import staged
 
 BLOCK = pa.struct(
     [("pos", pa.int32()), ("text", pa.string()), ("rich_text", pa.string()), ("tag", pa.string()), ("xpath", pa.string()), ("dom_index", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("level", pa.int32())]
@@ -57,6 +58,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
 
 
+def staged_pages(pages: DataFrame) -> DataFrame:
+    """parse_pages, written to the shared folder: plans that use blocks, links and payloads read columns, not pages."""
+    return staged(parse_pages(pages), "pages")
+
+
 def blocks_of(parsed: DataFrame) -> DataFrame:
     """One row per block with its word count, key and link density."""
     b = parsed.select("page_id", "url", F.inline("blocks"))

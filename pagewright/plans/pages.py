@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.catalog import Tables, query
@@ -81,7 +81,7 @@ def page_blocks(t: Tables) -> DataFrame:
 @query()
 def page_content(t: Tables) -> DataFrame:
     """2.9, 2.10, 2.12: content selection under site chrome, as Markdown."""
-    parsed = parse.parse_pages(t.pages)
+    parsed = t.parsed
     b = assemble.dedup_blocks(parse.blocks_of(parsed)).withColumn("site", U.site_host(F.col("url"))).withColumn("chrome_key", T.chrome_key(F.col("text")))
     titles = parsed.select("page_id", F.coalesce(F.col("meta")["title"], F.lit("")).alias("title"))
     kept = assemble.select_content(b, titles, assemble.site_chrome(b), assemble.site_slots(b))
@@ -97,7 +97,7 @@ def page_hashes(t: Tables) -> DataFrame:
 @query()
 def restated_blocks(t: Tables) -> DataFrame:
     """2.6.7."""
-    return assemble.restated(parse.blocks_of(parse.parse_pages(t.pages)))
+    return assemble.restated(parse.blocks_of(t.parsed))
 
 
 # Lines of documents as blocks, their source as the site; repeated lines are rarer than page chrome, hence the lower share.
@@ -131,7 +131,7 @@ def line_chrome_stripped(t: Tables) -> DataFrame:
 @query()
 def site_chrome_pages(t: Tables) -> DataFrame:
     """The flagship: blocks of pages, chrome of sites, and what every page keeps."""
-    b = parse.blocks_of(parse.parse_pages(t.pages)).withColumn("site", U.site_host(F.col("url"))).withColumn("chrome_key", T.chrome_key(F.col("text")))
+    b = parse.blocks_of(t.parsed).withColumn("site", U.site_host(F.col("url"))).withColumn("chrome_key", T.chrome_key(F.col("text")))
     kept = assemble.strip_chrome(b, assemble.site_chrome(b), assemble.site_slots(b))
     total = b.groupBy("page_id", "site").agg(F.count("*").alias("blocks_total"))
     return total.join(kept.groupBy("page_id").agg(F.count("*").alias("blocks_kept"), F.sum(F.length("text")).alias("content_chars")), "page_id")
@@ -160,21 +160,25 @@ def page_technologies(t: Tables) -> DataFrame:
     return tech.detect(t.pages).select("page_id", "technology")
 
 
-@query("""WITH c(raw) AS (SELECT unnest(['contact us', '', 'free', '1.299', '1,299', '1 299', '1.299,50', '1,299.5', '12,34,56', '1.2.3', '-5', '$1,234,567.89', '7', '7,5', '1,2345']))
-    SELECT raw, CASE raw WHEN '1.299' THEN 1299.0 WHEN '1,299' THEN 1299.0 WHEN '1 299' THEN 1299.0 WHEN '1.299,50' THEN 1299.5 WHEN '1,299.5' THEN 1299.5 WHEN '-5' THEN -5.0 WHEN '$1,234,567.89' THEN 1234567.89 WHEN '7' THEN 7.0 WHEN '7,5' THEN 7.5 END::DOUBLE AS number FROM c""")
+@query("SELECT p_partkey, CAST(k AS INTEGER) AS spelling, round(p_retailprice, 2) AS number FROM part, range(0, 4) AS r(k)")
 def price_texts(t: Tables) -> DataFrame:
-    """2.15.7."""
-    rows = ["contact us", "", "free", "1.299", "1,299", "1 299", "1.299,50", "1,299.5", "12,34,56", "1.2.3", "-5", "$1,234,567.89", "7", "7,5", "1,2345"]
-    return t.spark.createDataFrame([(r,) for r in rows], "raw string").select("raw", T.to_number(F.col("raw")).alias("number"))
+    """2.15.7: every price in four spellings."""
+    p = F.format_number("p_retailprice", 2)
+    spellings = F.array(F.concat(F.lit("$"), p), F.concat(F.translate(p, ",.", ".,"), F.lit(" €")), F.replace(p, F.lit(","), F.lit(" ")), F.concat(F.lit("from "), p, F.lit(" each")))
+    return t.part.select("p_partkey", F.posexplode(spellings).alias("spelling", "raw")).select("p_partkey", "spelling", T.to_number(F.col("raw")).alias("number"))
 
 
-@query("SELECT CAST(floor(log2(doc_id)) AS BIGINT) AS depth, count(*) AS pages FROM documents WHERE doc_id BETWEEN 1 AND 15 GROUP BY ALL")
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), d1 AS (SELECT DISTINCT s FROM e WHERE p = 1), d2 AS (SELECT DISTINCT p FROM e SEMI JOIN d1 USING (s) WHERE p <> 1),
+    d3 AS (SELECT DISTINCT s FROM e SEMI JOIN d2 USING (p) WHERE s NOT IN (SELECT s FROM d1))
+    SELECT * FROM (SELECT CAST(0 AS BIGINT) AS depth, count(DISTINCT p) AS pages FROM e WHERE p = 1 UNION ALL SELECT 1, count(*) FROM d1 UNION ALL SELECT 2, count(*) FROM d2 UNION ALL SELECT 3, count(*) FROM d3) WHERE pages > 0""")
 def crawl_levels(t: Tables) -> DataFrame:
-    """2.4.1-2.4.8: breadth-first levels to depth 3, over a site in which page n links to pages 2n and 2n + 1."""
-    url = lambda n: F.concat(F.lit("https://site.example/p"), n.cast("string"))
-    d = t.documents.select(F.col("doc_id").alias("n"))
-    links = d.select(url(F.col("n")).alias("url"), F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("m")).select("url", url(F.col("m")).alias("href"))
-    return crawl.crawl(d.select(url(F.col("n")).alias("url")), links, "https://site.example/p1").groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("pages"))
+    """2.4.1-2.4.8: breadth-first levels to depth 3 from the first part, over a site in which parts and suppliers link to
+    each other."""
+    url = lambda kind, c: F.concat(F.lit(f"https://site.example/{kind}"), F.col(c).cast("string"))
+    e = t.lineitem.select(url("p", "l_partkey").alias("p"), url("s", "l_suppkey").alias("s")).distinct()
+    links = e.select(F.col("p").alias("url"), F.col("s").alias("href")).unionByName(e.select(F.col("s").alias("url"), F.col("p").alias("href")))
+    pages = links.select("url").distinct()
+    return crawl.crawl(pages, links, "https://site.example/p1").groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("pages"))
 
 
 @query("""WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
@@ -189,7 +193,7 @@ def throttled(t: Tables) -> DataFrame:
 def document_entities(t: Tables) -> DataFrame:
     """2.19: mentions by rules, merged, with evidence."""
     m = knowledge.mentions(t.documents.select(F.col("doc_id").alias("page_id"), F.lit(0).alias("pos"), "text"))
-    return knowledge.entities(m, 1000)
+    return knowledge.entities(m, t.documents.count())
 
 
 @query("""SELECT phone AS name, count(DISTINCT doc_id) AS pages FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\+\\d{1,3} \\(\\d{3}\\) \\d{3}-\\d{4}')) AS phone FROM documents) GROUP BY phone""")
@@ -232,8 +236,14 @@ def shared_shingles(t: Tables) -> DataFrame:
     return d.join(b, "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
-@query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, CAST(sum(length(text)) OVER (PARTITION BY conv_id) AS BIGINT) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents),
+    f AS (SELECT doc_id, pos, len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')) AS words FROM l)
+    SELECT doc_id AS page_id, pos, lag(words) OVER w AS prev_words, lead(words) OVER w AS next_words, CAST(sum(words) OVER p AS BIGINT) AS page_words, row_number() OVER w / count(*) OVER p AS place, words / greatest(sum(words) OVER p, 1) AS word_share
+    FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos), p AS (PARTITION BY doc_id)""")
 def neighbour_features(t: Tables) -> DataFrame:
-    """2.11.1: previous, next and page-level features."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"), F.sum(F.length("text")).over(Window.partitionBy("conv_id")).alias("chars"))
+    """2.11.1: neighbours' and page-level features of the lines of documents."""
+    from pagewright.operators import classify
+
+    b = t.documents.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    b = b.select("page_id", "pos", "text", F.lit("paragraph").alias("kind"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), F.lit(0.0).alias("link_density"), F.lit(False).alias("in_main"), F.lit(None).cast("string").alias("article"))
+    return classify.block_features(b).select("page_id", "pos", "prev_words", "next_words", "page_words", "place", "word_share")

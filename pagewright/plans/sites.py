@@ -44,7 +44,7 @@ SQL_EDGES = f"""{SQL_URL}, a AS (SELECT u.page_id, regexp_replace(u.key, '^https
 
 
 def edges_of(t: Tables) -> DataFrame:
-    return site.page_links(parse.links_of(parse.parse_pages(t.pages)))
+    return site.page_links(parse.links_of(t.parsed))
 
 
 @query(f"WITH {SQL_EDGES} SELECT source, target, count(*) AS count FROM e WHERE source <> target GROUP BY ALL")
@@ -53,10 +53,11 @@ def link_edges(t: Tables) -> DataFrame:
     return edges_of(t).select("source", "target", "count")
 
 
-@query(f"WITH {SQL_EDGES}, d AS (SELECT target, count(DISTINCT source) AS in_degree FROM e WHERE source <> target GROUP BY target) SELECT target, in_degree, round(CASE WHEN in_degree >= 1000 THEN 0 ELSE ln(1000.0 / in_degree) / ln(1001.0) END, 9) AS specificity FROM d")
+@query(f"WITH {SQL_EDGES}, d AS (SELECT target, count(DISTINCT source) AS in_degree FROM e WHERE source <> target GROUP BY target) SELECT target, in_degree, round(CASE WHEN in_degree >= n THEN 0 ELSE ln(n / in_degree) / ln(n + 1.0) END, 9) AS specificity FROM d, (SELECT CAST(count(DISTINCT source) AS DOUBLE) AS n FROM (SELECT regexp_replace(key, '^https?://', '') AS source FROM u))")
 def link_specificity(t: Tables) -> DataFrame:
     """2.16.16."""
-    return site.specificity(edges_of(t), 1000).withColumn("specificity", F.round("specificity", 9))
+    pages = t.pages.select(U.page_key(F.col("url"))).distinct().count()
+    return site.specificity(edges_of(t), pages).withColumn("specificity", F.round("specificity", 9))
 
 
 @query()
@@ -114,11 +115,16 @@ def document_walls(t: Tables) -> DataFrame:
     return walls.walls(d)
 
 
-@query("""SELECT doc_id AS key, CAST(1 AS BIGINT) AS sections, sha256(trim(regexp_replace(text, '[\\s]+', ' ', 'g'))) AS body FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '(^|\\n)#{1,6}\\s') AND NOT regexp_matches(text, '(^|\\n)\\s*(```|~~~)')""")
+@query("""WITH l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY n) % 2 = 1 AS fenced FROM l),
+    h AS (SELECT *, NOT fenced AND regexp_matches(line, '^#{1,6}\\s+\\S') AS head FROM f),
+    s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY n) AS section FROM h),
+    g AS (SELECT key, section, bool_or(head) AS named, trim(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), ''), '\\s+', ' ', 'g')) AS body FROM s GROUP BY key, section)
+    SELECT key, count(*) AS sections, CAST(sum(CASE WHEN named THEN 1 ELSE 0 END) AS BIGINT) AS headed, CAST(sum(length(body)) AS BIGINT) AS chars FROM g WHERE named OR body <> '' GROUP BY key""")
 def markdown_sections(t: Tables) -> DataFrame:
-    """2.18.12: documents without headings are one section."""
+    """2.18.12: sections of every document, with and without headings."""
     s = site.sections_from_markdown(t.documents.select(F.col("doc_id").alias("key"), F.col("text").alias("markdown")))
-    return s.groupBy("key").agg(F.count("*").alias("sections"), F.first(F.sha2(T.fold_space(F.col("text")), 256)).alias("body")).where("sections = 1")
+    return s.groupBy("key").agg(F.count("*").alias("sections"), F.sum((F.col("heading") != "").cast("long")).alias("headed"), F.sum(F.length(T.fold_space(F.col("text")))).cast("long").alias("chars"))
 
 
 @query("SELECT conv_id, turn, round((length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) / greatest(length(text), 1), 9) AS digits, CAST(turn AS DOUBLE) / max(turn) OVER (PARTITION BY conv_id) AS place FROM conversations")
@@ -137,7 +143,7 @@ def page_feature_table(t: Tables) -> DataFrame:
     """2.11.1, 2.11.6."""
     from pagewright.operators import classify
 
-    parsed = parse.parse_pages(t.pages)
+    parsed = t.parsed
     return classify.page_features(parsed, parse.blocks_of(parsed))
 
 

@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,7 @@ def duck():
 
 def plain(value):
     """Values of both engines in one form."""
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return ""
     if isinstance(value, bool):
         return str(value)
