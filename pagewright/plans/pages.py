@@ -245,5 +245,5 @@ def neighbour_features(t: Tables) -> DataFrame:
     from pagewright.operators import classify
 
     b = t.documents.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    b = b.select("page_id", "pos", "text", F.lit("paragraph").alias("kind"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), F.lit(0.0).alias("link_density"), F.lit(False).alias("in_main"), F.lit(None).cast("string").alias("article"))
+    b = b.select("page_id", "pos", "text", F.lit("paragraph").alias("kind"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("words"), F.lit(0.0).alias("link_density"), F.lit(False).alias("in_main"), F.lit(None).cast("string").alias("article"))
     return classify.block_features(b).select("page_id", "pos", "prev_words", "next_words", "page_words", "place", "word_share")

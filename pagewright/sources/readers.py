@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,13 @@ def jsonl_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def as_json(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """The lines as VARIANT values."""
     return lines.select(F.parse_json("value").alias("value"))
+
+
+def gold_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pages (page_id, url, html) and gold rows (page_id, url, schema, facts as JSON) of a folder with gold.json, a list of
+    cases {id, url, file, schema, facts}, and the saved pages that they name."""
+    text = spark.read.option("wholetext", "true").text(f"{folder.rstrip('/')}/gold.json").first().value
+    cases = [(i, c.get("url"), c.get("file") or f"{c.get('id')}.html", json.dumps(c.get("schema") or {}, sort_keys=True), json.dumps(c.get("facts") or {}, sort_keys=True)) for i, c in enumerate(json.loads(text))]
+    gold = spark.createDataFrame(cases, "page_id long, url string, file string, schema string, facts string")  # a labelled set
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.substring_index("path", "/", -1).alias("file"), F.decode("content", "UTF-8").alias("html"))
+    return gold.join(files, "file").select("page_id", "url", "html"), gold.select("page_id", "url", "schema", "facts")
