@@ -251,6 +251,11 @@ def tree(html: str | None, keep_hidden: bool = False) -> Node:
 
     keep_hidden leaves text that only screen readers hear and elements that are not shown.
     """
+    return read(html, keep_hidden)[0]
+
+
+def read(html: str | None, keep_hidden: bool = False) -> tuple[Node, dict[str, int], list[dict]]:
+    """The cleaned tree, and what was hidden before: words by kind of hiding, and links {href, kind}."""
     html = re.sub(r"^\s*<\?xml[^>]*\?>", "", html or "")
     if not html.strip():
         raise ValueError("empty document")
@@ -261,9 +266,29 @@ def tree(html: str | None, keep_hidden: bool = False) -> Node:
     root = builder.root
     compose_shadows(root)
     unwrap_noscript(root)
+    words, links = hidden_matter(root)
     clean(root, keep_hidden)
     measure(root)
-    return root
+    return root, words, links
+
+
+def hidden_matter(root: Node) -> tuple[dict[str, int], list[dict]]:
+    """Words under the outermost hidden elements by kind, and the links in them."""
+    words: dict[str, int] = {}
+    links, stack = [], [(root, None)]
+    while stack:
+        node, kind = stack.pop()
+        if kind is None and node.attrs:
+            kind = hidden_by(node) or ("offscreen" if "style" in node.attrs and off_the_page(node) else "clipped" if "class" in node.attrs and SCREEN_READER.intersection(x.lower() for x in node.classes()) else None)
+        if kind is not None and node.tag == "a" and node.attrs.get("href"):
+            links.append({"href": node.attrs["href"], "kind": kind})
+        for k in reversed(node.kids):
+            if k.__class__ is Node:
+                if k.tag not in ("script", "style", "template"):
+                    stack.append((k, kind))
+            elif kind is not None and (n := len(k.split())):
+                words[kind] = words.get(kind, 0) + n
+    return words, links
 
 
 def measure(root: Node) -> None:

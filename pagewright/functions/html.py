@@ -11,9 +11,9 @@ import json
 import re
 from urllib.parse import urljoin
 
-from pagewright.functions.dom import ABSENT, BLOCK, EDITORS, FLOATS, HIDDEN_BY, MARK, Node, first, fold, hidden_by, tree
+from pagewright.functions.dom import ABSENT, BLOCK, EDITORS, FLOATS, HIDDEN_BY, MARK, Node, first, fold, hidden_by, read, tree
 
-__all__ = ["Blocks", "Node", "absolute", "first", "fold", "is_rtl", "links", "loads", "metadata", "payloads", "stats", "tree"]
+__all__ = ["Blocks", "Node", "absolute", "first", "fold", "is_rtl", "links", "loads", "metadata", "payloads", "read", "stats", "tree"]
 
 SKIP = frozenset("script style template noscript head textarea colgroup source track param".split())
 #: Sizes that decide tables, pictures and panels.
@@ -791,19 +791,7 @@ def stats(root: Node) -> dict:
             out["class_tokens"] += len(n.classes())
             out["itemprops"] += "itemprop" in a
             out["rel_next"] = out["rel_next"] or "next" in a.get("rel", "").lower().split()
-    return out | {"hidden_words": hidden_words(root)}
-
-
-def hidden_words(root: Node) -> int:
-    """Words of the outermost hidden elements."""
-    total, stack = 0, [root]
-    while stack:
-        n = stack.pop()
-        if hidden_by(n):
-            total += n.size
-        else:
-            stack.extend(n.elements())
-    return total
+    return out
 
 
 # Languages and scripts written from right to left.

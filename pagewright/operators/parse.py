@@ -18,20 +18,23 @@ BLOCK = pa.struct(
 LINK = pa.struct([("pos", pa.int32()), ("raw", pa.string()), ("href", pa.string()), ("anchor", pa.string()), ("region", pa.string())])
 PAYLOAD = pa.struct([("seq", pa.int32()), ("source", pa.string()), ("data", pa.string())])
 STATS = pa.struct([(k, pa.bool_() if k == "rel_next" else pa.int32()) for k in ("elements", "class_tokens", "itemprops", "rel_next", "scripts", "images", "anchors", "hidden_words")])
-FIELDS = [("error", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("rtl", pa.bool_()), ("blocks", pa.list_(BLOCK)), ("links", pa.list_(LINK)), ("payloads", pa.list_(PAYLOAD)), ("stats", STATS)]
+HIDDEN = pa.struct([("kind", pa.string()), ("words", pa.int32())])
+HIDDEN_LINK = pa.struct([("href", pa.string()), ("kind", pa.string())])
+FIELDS = [("error", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("rtl", pa.bool_()), ("blocks", pa.list_(BLOCK)), ("links", pa.list_(LINK)), ("payloads", pa.list_(PAYLOAD)), ("stats", STATS), ("hidden", pa.list_(HIDDEN)), ("hidden_links", pa.list_(HIDDEN_LINK))]
 
 
 def read_page(html: str | None, url: str | None) -> dict:
     """Everything a page holds; one that cannot be read gives its error alone and harms no other."""
     try:
-        root, base = H.tree(html), url or ""
+        root, words, hidden_links = H.read(html)
+        base = url or ""
         blocks = H.Blocks(root, base).out
         for i, b in enumerate(blocks):
             b["pos"] = i
         meta = H.metadata(root, base)
-        return {"error": None, "meta": list(meta.items()), "rtl": H.is_rtl(root), "blocks": blocks, "links": H.links(root, base), "payloads": H.payloads(root, html, meta), "stats": H.stats(root)}
+        return {"error": None, "meta": list(meta.items()), "rtl": H.is_rtl(root), "blocks": blocks, "links": H.links(root, base), "payloads": H.payloads(root, html, meta), "stats": H.stats(root) | {"hidden_words": sum(words.values())}, "hidden": [{"kind": k, "words": n} for k, n in sorted(words.items())], "hidden_links": [x | {"href": H.absolute(x["href"], base)} for x in hidden_links]}
     except Exception as e:  # whatever a page of the web provokes
-        return {"error": str(e) or type(e).__name__, "meta": [], "rtl": False, "blocks": [], "links": [], "payloads": [], "stats": None}
+        return {"error": str(e) or type(e).__name__, "meta": [], "rtl": False, "blocks": [], "links": [], "payloads": [], "stats": None, "hidden": [], "hidden_links": []}
 
 
 def _ddl(kind: pa.DataType) -> str:

@@ -48,25 +48,84 @@ def stack_ages(technologies: DataFrame, releases: DataFrame, today: str, old_yea
     return joined.select("page_id", "technology", "version", F.round(years, 2).alias("years"), (years >= old_years).alias("old"))
 
 
-def findings(pages: DataFrame) -> DataFrame:
-    """(kind, severity, pages) of measured pages (page_id, status, words, static_coverage, title, hidden_hosts, dead_links)."""
-    kinds = (
-        ("walled", 3, F.col("status").isin(401, 402, 403, 429, 451, 503)),
-        ("gone", 3, F.col("status").isin(404, 410)),
-        ("foreign-hidden-links", 3, F.col("hidden_hosts") >= 5),
-        ("needs-scripts", 2, F.col("static_coverage") < 0.5),
-        ("dead-links", 2, F.col("dead_links") > 0),
-        ("no-title", 1, F.coalesce(F.col("title"), F.lit("")) == ""),
-        ("thin", 1, F.col("words") < 20),
-    )
-    rows = F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("kind"), F.lit(level).alias("severity"))) for name, level, test in kinds))
-    f = pages.select("page_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("f")).select("page_id", "f.*")
-    return f.groupBy("kind", "severity").agg(F.count("*").alias("pages")).orderBy(F.desc("severity"), "kind")
-
-
-def suggest_llms(pages: DataFrame, host: str) -> DataFrame:
-    """One text: a list of the site's pages by section for an llms.txt."""
+def joined_headers(headers: DataFrame) -> DataFrame:
+    """(url, name, value): repeated headers (url, seq, name, value) joined with a comma in their order, names lower-case."""
+    h = headers.select("url", "seq", F.lower("name").alias("name"), F.trim("value").alias("value"))
+    return h.groupBy("url", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), ", ").alias("value"))
+
+
+def content_usage(files: DataFrame) -> DataFrame:
+    """(origin, path, category, value) of Content-Usage lines: a path is optional, y and n are yes and no."""
+    lines = files.select("origin", F.explode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*content-usage:\s*(.+)$"), F.lit(1))).alias("line"))
+    path = F.when(F.col("line").startswith("/"), F.regexp_extract("line", r"^(\S+)", 1))
+    rest = F.when(F.col("line").startswith("/"), F.regexp_extract("line", r"^\S+\s+(.*)$", 1)).otherwise(F.col("line"))
+    pairs = lines.select("origin", path.alias("path"), F.explode(F.split(rest, r"\s*,\s*")).alias("p"))
+    value = F.lower(F.trim(F.split_part("p", F.lit("="), F.lit(2))))
+    return pairs.select("origin", "path", F.lower(F.trim(F.split_part("p", F.lit("="), F.lit(1)))).alias("category"), F.when(value == "y", "yes").when(value == "n", "no").otherwise(value).alias("value")).where("category <> '' and value <> ''")
+
+
+#: What an owner allows or declines by each signal.
+MEANINGS = {"search": "index it for search", "ai-input": "use it as input to AI answers", "ai-train": "train AI models on it"}
+
+
+def signal_meaning(values: Column) -> Column:
+    """A sentence for a map of content signals to yes or no; null if it holds none that is known."""
+    said = lambda v: F.filter(F.array(*(F.when(values[F.lit(k)] == v, F.lit(text)) for k, text in MEANINGS.items())), lambda x: x.isNotNull())
+    yes, no = F.array_join(said("yes"), " and "), F.array_join(said("no"), " or ")
+    return F.when((yes != "") & (no != ""), F.concat(F.lit("AI systems may "), yes, F.lit(", but should not "), no, F.lit("."))).when(yes != "", F.concat(F.lit("AI systems may "), yes, F.lit("."))).when(no != "", F.concat(F.lit("AI systems should not "), no, F.lit(".")))
+
+
+#: The machine-readable signals of a site by group, and where each is looked for: a robots line, a header, a head field, a
+#: payload, or a file under the root.
+SIGNALS = (
+    ("content_signal", "rules", "robots", r"(?im)^\s*content-signal:"), ("content_usage", "rules", "robots", r"(?im)^\s*content-usage:"), ("rsl", "rules", "robots", r"(?im)^\s*license:"), ("sitemap", "discovery", "robots", r"(?im)^\s*sitemap:"),
+    ("tdm", "rules", "header", "tdm-reservation"), ("link_header", "discovery", "header", "link"), ("robots_header", "rules", "header", "x-robots-tag"),
+    ("noai", "rules", "meta", "noai"), ("robots_meta", "rules", "meta", "robots"), ("canonical", "metadata", "meta", "canonical"), ("hreflang", "metadata", "meta", "hreflang:"), ("open_graph", "metadata", "meta", "og:"), ("json_ld", "metadata", "payload", "json-ld"),
+    ("llms_txt", "files", "file", "/llms.txt"), ("ai_txt", "files", "file", "/ai.txt"), ("indexnow", "discovery", "file", "/indexnow.txt"), ("agent_card", "agents", "file", "/.well-known/agent-card.json"), ("agents_json", "agents", "file", "/agents.json"), ("mcp", "agents", "file", "/.well-known/mcp.json"),
+    ("api_catalog", "agents", "file", "/.well-known/api-catalog"), ("security_txt", "trust", "file", "/.well-known/security.txt"), ("humans_txt", "trust", "file", "/humans.txt"), ("manifest", "trust", "file", "/manifest.json"), ("feeds", "discovery", "file", "/feed"),
+)
+
+
+def collect_signals(roots: DataFrame, robots: DataFrame, headers: DataFrame, files: DataFrame) -> DataFrame:
+    """(site, signal, group, present): the machine-readable signals of each site.
+
+    roots is (site, meta, payloads) of its first page, robots is (site, body), headers is (site, name, value) and files is
+    (site, path, status).
+    """
+    h = headers.groupBy("site").agg(F.collect_set(F.lower("name")).alias("_h"))
+    f = files.where("status = 200").groupBy("site").agg(F.collect_set("path").alias("_f"))
+    r = robots.groupBy("site").agg(F.first("body").alias("_r"))
+    s = roots.join(r, "site", "left").join(h, "site", "left").join(f, "site", "left")
+    none = F.array().cast("array<string>")
+    keys = F.map_keys("meta")
+    test = {
+        "robots": lambda x: F.coalesce(F.col("_r"), F.lit("")).rlike(x),
+        "header": lambda x: F.array_contains(F.coalesce("_h", none), x),
+        "meta": lambda x: F.exists(F.map_values(F.map_filter("meta", lambda k, v: k == "robots")), lambda v: F.lower(v).contains("noai")) if x == "noai" else F.exists(keys, lambda k: k.startswith(x) if x.endswith(":") else k == x),
+        "payload": lambda x: F.exists("payloads", lambda p: p["source"] == x),
+        "file": lambda x: F.array_contains(F.coalesce("_f", none), x),
+    }
+    return s.select("site", F.inline(F.array(*(F.struct(F.lit(k).alias("signal"), F.lit(g).alias("group"), F.coalesce(test[where](x), F.lit(False)).alias("present")) for k, g, where, x in SIGNALS))))
+
+
+def suggest_robots(host: str, sitemap: str | None, decline_training: bool, trainers: tuple[str, ...] = ("GPTBot", "ClaudeBot", "CCBot", "Google-Extended", "Applebot-Extended", "Bytespider", "meta-externalagent")) -> str:
+    """A commented robots.txt: everything open, or open to search and assistants but not to training."""
+    lines = [f"# robots.txt for {host}", "# Everyone may read everything that is not listed below.", "User-agent: *", "Allow: /", ""]
+    if decline_training:
+        lines += ["# Crawlers that gather training data are asked to stay away.", *(f"User-agent: {t}" for t in trainers), "Disallow: /", "", "Content-Signal: search=yes, ai-input=yes, ai-train=no"]
+    else:
+        lines += ["Content-Signal: search=yes, ai-input=yes, ai-train=yes"]
+    return "\n".join([*lines, *(["", f"Sitemap: {sitemap}"] if sitemap else []), ""])
+
+
+def suggest_security(host: str, contact: str, expires: str) -> str:
+    return f"Contact: {contact}\nExpires: {expires}\nPreferred-Languages: en\nCanonical: https://{host}/.well-known/security.txt\n"
+
+
+def suggest_llms(pages: DataFrame) -> DataFrame:
+    """(section, pos, line): lines of an llms.txt, a heading and its pages for each section; a section's lines stay rows, so
+    a site of any size is written as it is read."""
+    section = F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)/", 1), F.lit("")), F.lit("pages"))
     line = F.concat(F.lit("- ["), F.coalesce("title", "url"), F.lit("]("), "url", F.lit(")"))
-    per = pages.groupBy(F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)/", 1), F.lit("")), F.lit("pages")).alias("section")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "lines"))), lambda s: F.concat(F.lit("## "), s["section"], F.lit("\n\n"), s["lines"])), "\n\n")
-    return per.agg(F.concat(F.lit(f"# {host}\n\n"), body, F.lit("\n")).alias("value"))
+    rows = pages.select(section.alias("section"), F.col("url").alias("pos"), line.alias("line"))
+    return rows.unionByName(rows.select("section").distinct().select("section", F.lit("").alias("pos"), F.concat(F.lit("## "), "section").alias("line"))).orderBy("section", "pos")

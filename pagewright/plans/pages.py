@@ -216,13 +216,22 @@ def crawler_policies(t: Tables) -> DataFrame:
     return u.join(p, "url").select("agent", "page_id", "allowed")
 
 
-@query(f"""WITH {SQL_URL}, m AS (SELECT u.site, avg(CASE WHEN length(pg.html) > 2000 THEN 1.0 ELSE 0.0 END) AS long, avg(CASE WHEN u.q = '' THEN 1.0 ELSE 0.0 END) AS plain, max(CASE WHEN contains(pg.html, 'lang="fr"') THEN 1 ELSE 0 END) AS fr FROM u JOIN pages pg USING (page_id) GROUP BY u.site)
-    SELECT site, round_even(round(100 * (25 * long + 20 * plain + CASE WHEN fr = 1 THEN 5 ELSE 0 END) / (25 + 20 + CASE WHEN fr = 1 THEN 5 ELSE 0 END), 9), 0) AS total FROM m""")
+@query(f"""WITH {SQL_URL}, pg AS (SELECT u.*, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, html FROM u JOIN pages USING (page_id)),
+    a AS (SELECT page_id, regexp_replace(key, '^https?://', '') AS source, regexp_replace(h, '^www\\.', '') AS site, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1) AS pos FROM pg),
+    l AS (SELECT page_id, source, site || rtrim(raw, '/') AS target, min(pos) AS pos FROM a WHERE site || rtrim(raw, '/') <> source GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM l),
+    d AS (SELECT pg.site, count(*) AS checked, sum(CASE WHEN k.source IS NULL THEN 1 ELSE 0 END) AS dead FROM c JOIN pg USING (page_id) LEFT JOIN (SELECT DISTINCT regexp_replace(key, '^https?://', '') AS source FROM u) k ON k.source = c.target WHERE n <= 30 GROUP BY pg.site),
+    m AS (SELECT site, avg(((CASE WHEN trim(title) <> '' THEN 1 ELSE 0 END) + (CASE WHEN lang <> '' THEN 1 ELSE 0 END)) / 4.0) AS meta FROM pg GROUP BY site)
+    SELECT site, round_even(round(100 * (15 + 4 * meta + 10 + coalesce(5.0 * (1 - dead / checked), 0)) / (15 + 10 + 10 + CASE WHEN checked > 0 THEN 5 ELSE 0 END), 9), 0) AS total FROM m LEFT JOIN d USING (site)""")
 def readiness(t: Tables) -> DataFrame:
-    """2.20.1: sub-scores of each site from its pages; what a site lacks is not measured."""
-    p = t.pages.select(U.site_host(F.col("url")).alias("site"), (F.length("html") > 2000).cast("double").alias("long"), (F.regexp_extract(U.normalize_url(F.col("url")), r"\?", 0) == "").cast("double").alias("plain"), F.col("html").contains('lang="fr"').alias("fr"))
-    m = p.groupBy("site").agg((25 * F.avg("long")).alias("readable"), (20 * F.avg("plain")).alias("robots"), F.when(F.max("fr"), 5.0).alias("dead"))
-    return report.site_score(m.unpivot("site", ["readable", "robots", "dead"], "part", "earned"))
+    """2.20.1, 2.20.4, 2.20.6, 2.20.7, 2.20.9, 2.20.11, 2.20.14: each site's score from what its pages say: head fields,
+    hidden links, links to addresses that the table lacks. What is not measured does not count."""
+    pages = report.measure_pages(t.parsed).withColumn("site", U.site_host(F.col("url"))).withColumn("wall", F.lit(None).cast("string"))
+    links = parse.links_of(t.parsed)
+    asked = links.select(U.normalize_url(F.col("href")).alias("url")).distinct().withColumn("key", U.page_key(F.col("url")))
+    known = t.pages.select(U.page_key(F.col("url")).alias("key")).distinct().withColumn("known", F.lit(200))
+    statuses = asked.join(known, "key", "left").select("url", F.coalesce("known", F.lit(404)).alias("status"))
+    return report.site_score(report.sub_scores(pages, links=report.check_links(links, statuses)))
 
 
 @query("""SELECT b.item_id, d.doc_id, count(*) AS shared FROM

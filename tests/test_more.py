@@ -46,8 +46,7 @@ def test_signals(spark):
     f = spark.createDataFrame([("o", "User-agent: *\nContent-Signal: search=yes, ai-train=no\nLicense: https://l.x/a\n")], "origin string, body string")
     assert {(r.name, r.value) for r in signals.content_signals(f).collect()} == {("search", "yes"), ("ai-train", "no")} and signals.licence_lines(f).first().licence == "https://l.x/a"
     p = spark.createDataFrame([(1, 200, 5, 0.2, "", 0, 0), (2, 404, 100, 1.0, "t", 6, 1)], "page_id long, status int, words int, static_coverage double, title string, hidden_hosts int, dead_links int")
-    assert [r.kind for r in signals.findings(p).collect()] == ["foreign-hidden-links", "gone", "dead-links", "needs-scripts", "no-title", "thin"]
-    assert "## docs\n\n- [A](https://e.com/docs/a)" in signals.suggest_llms(spark.createDataFrame([("A", "https://e.com/docs/a")], "title string, url string"), "e.com").first().value
+    assert [r.line for r in signals.suggest_llms(spark.createDataFrame([("A", "https://e.com/docs/a")], "title string, url string")).collect()] == ["## docs", "- [A](https://e.com/docs/a)"]
 
 
 def test_answers(spark):
