@@ -9,6 +9,7 @@ from pagewright.catalog import Tables, query
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.operators import assemble, crawl, facts, knowledge, parse, report, tech
+from pagewright.storage import staged
 
 # SQL pieces that several oracles share.
 SQL_TRACKING = ", ".join(f"'{k}'" for k in U.TRACKING)
@@ -82,7 +83,7 @@ def page_blocks(t: Tables) -> DataFrame:
 def page_content(t: Tables) -> DataFrame:
     """2.9, 2.10, 2.12: content selection under site chrome, as Markdown."""
     parsed = t.parsed
-    b = assemble.dedup_blocks(parse.blocks_of(parsed)).withColumn("site", U.site_host(F.col("url"))).withColumn("chrome_key", T.chrome_key(F.col("text")))
+    b = staged(assemble.dedup_blocks(parse.blocks_of(parsed)).withColumn("site", U.site_host(F.col("url"))).withColumn("chrome_key", T.chrome_key(F.col("text"))), "blocks")
     titles = parsed.select("page_id", F.coalesce(F.col("meta")["title"], F.lit("")).alias("title"))
     kept = assemble.select_content(b, titles, assemble.site_chrome(b), assemble.site_slots(b))
     return assemble.markdown_of(kept)

@@ -65,11 +65,11 @@ def test_answers(spark):
 
 def test_selection_steps(spark):
     rows = [(1, 0, "Title", "heading", 1, 0, ""), (1, 1, "lead text", "paragraph", 0, 0, ""), (1, 2, "body text", "paragraph", 0, 0, ""), (1, 3, "", "rule", 0, 0, ""), (1, 4, "more body", "paragraph", 0, 0, ""), (1, 5, "Related posts", "heading", 2, 0, ""), (1, 6, "other", "paragraph", 0, 0, ""), (1, 7, "Next", "heading", 2, 0, ""), (1, 8, "kept", "paragraph", 0, 0, "")]
-    b = spark.createDataFrame(rows, "page_id long, pos int, text string, kind string, level int, quoted int, xpath string")
+    b = spark.createDataFrame(rows, "page_id long, pos int, text string, kind string, level int, quoted int, xpath string").withColumns({"words": T.word_count(F.col("text")), "link_density": F.lit(0.0)})
     assert [r.pos for r in assemble.prune_sections(b).orderBy("pos").collect()] == [0, 1, 2, 3, 4, 7, 8]
     kept = b.where("pos in (2, 4)")
-    assert sorted(r.pos for r in assemble.restore_structure(b, kept).collect()) == [2, 3, 4]
-    assert sorted(r.pos for r in assemble.restore_lead(b, kept).collect()) == [1, 2, 4]
+    back = assemble.restore(b, kept, spark.createDataFrame([(1, "")], "page_id long, title string"))
+    assert sorted(r.pos for r in back.collect()) == [1, 2, 3, 4]
     words = " ".join(f"w{i}" for i in range(20))
     q = spark.createDataFrame([(1, 0, words, 0), (1, 1, words, 1), (1, 2, "new " + words[::-1], 1)], "page_id long, pos int, text string, quoted int")
     assert sorted(r.pos for r in assemble.drop_quoted_repeats(q).collect()) == [0, 2]
