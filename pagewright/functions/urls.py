@@ -50,7 +50,7 @@ def _query(raw: Column) -> Column:
     decoded = lambda s: F.coalesce(F.try_url_decode(s), s)
     encoded = lambda s: F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pairs = F.filter(F.split(raw, "&"), lambda p: p != "")
-    parts = F.transform(pairs, lambda p: F.struct(decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v")))
+    parts = F.transform(pairs, lambda p: F.named_struct(F.lit("k"), decoded(F.regexp_extract(p, "^([^=]*)", 1)), F.lit("v"), decoded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1))))
     kept = F.array_sort(F.filter(parts, lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
     return F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
 
