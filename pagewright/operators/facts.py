@@ -157,3 +157,43 @@ def page_facts(payloads: DataFrame, pages: DataFrame, schema: dict) -> DataFrame
     facts = facts.withColumn("confidence", F.round(F.col("confidence") * F.when(F.col("tier") == 3, FILLED).otherwise(1.0), 4))
     best = Window.partitionBy("page_id", "path").orderBy("tier", F.desc("confidence"), "seq", "value")
     return facts.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+
+
+#: Fields of each page type, and their kinds.
+SCHEMAS = {
+    "article": {"title": "string", "author": "string", "datePublished": "date-time", "description": "string", "image": "string"},
+    "product": {"name": "string", "price": "number", "currency": "string", "brand": "string", "availability": "string", "rating": "number", "description": "string", "image": "string"},
+    "recipe": {"name": "string", "ingredients": "array", "totalTime": "string", "yield": "string"},
+    "event": {"name": "string", "startDate": "date-time", "endDate": "date-time", "location": "string"},
+    "job": {"title": "string", "company": "string", "location": "string", "datePosted": "date-time"},
+}
+DECLARED = {"currency": ["priceCurrency"], "rating": ["ratingValue"], "company": ["hiringOrganization"], "ingredients": ["recipeIngredient"], "yield": ["recipeYield"]}
+
+
+def schema_for(page_type: str | None) -> dict:
+    """The built-in JSON Schema of a page type; of any other page, a title and a description."""
+    fields = SCHEMAS.get(page_type or "", {"title": "string", "description": "string"})
+    one = lambda kind: {"type": "string", "format": "date-time"} if kind == "date-time" else {"type": kind, "items": {"type": "string"}} if kind == "array" else {"type": kind}
+    return {"type": "object", "properties": {k: one(v) | ({"aliases": DECLARED[k]} if k in DECLARED else {}) for k, v in fields.items()}}
+
+
+def site_name(meta: Column) -> Column:
+    """og:site_name, else application-name; null if there is none."""
+    return F.coalesce(F.nullif(F.trim(meta["og:site_name"]), F.lit("")), F.nullif(F.trim(meta["application-name"]), F.lit("")))
+
+
+def without_site_name(title: Column, name: Column) -> Column:
+    """A title without the site's name at either end, set off by a bar, dash or colon; a title that is the name stays."""
+    t, n = F.trim(title), F.lower(F.trim(name))
+    low = F.lower(t)
+    tail = F.when(low.endswith(n), F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(n)), r"\s*[|·–—:»-]\s*$", ""))
+    head = F.when(low.startswith(n), F.regexp_replace(F.substring(t, F.length(n) + 1, F.length(t)), r"^\s*[|·–—:»-]\s*", ""))
+    cut = F.coalesce(F.when(tail != F.substring(t, F.lit(1), F.length(t) - F.length(n)), tail), F.when(head != F.substring(t, F.length(n) + 1, F.length(t)), head))
+    return F.when(F.coalesce(n, F.lit("")) == "", t).otherwise(F.coalesce(F.nullif(F.trim(cut), F.lit("")), t))
+
+
+def self_references(data: Column, url: Column) -> Column:
+    """Whether a payload says it is about this address: by @id, url, mainEntityOfPage or og:url."""
+    said = F.array(*(F.get_json_object(data, p) for p in ("$['@id']", "$.url", "$.mainEntityOfPage", "$.mainEntityOfPage['@id']", "$['og:url']")))
+    key = lambda u: F.regexp_replace(F.regexp_replace(F.lower(u), r"^https?://(www\.)?", ""), r"[/#]+$", "")
+    return F.coalesce(F.exists(F.filter(said, lambda x: x.isNotNull()), lambda x: key(x) == key(url)), F.lit(False))

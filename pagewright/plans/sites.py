@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.catalog import Tables, query
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
-from pagewright.operators import parse, site
+from pagewright.operators import classify, parse, site
 from pagewright.plans.pages import SQL_URL
 from pagewright.sources import sinks
 
@@ -62,8 +62,9 @@ def link_specificity(t: Tables) -> DataFrame:
 
 @query()
 def page_sections(t: Tables) -> DataFrame:
-    """2.16.1."""
-    return site.sections(parse.blocks_of(parse.parse_pages(t.pages))).select("page_id", "section", "heading", "level", "parent", F.length("text").alias("chars"))
+    """2.16.1, 2.16.2: sections in pieces."""
+    cut = site.pieces(site.sections(parse.blocks_of(parse.parse_pages(t.pages))))
+    return cut.select("page_id", "section", "piece", "heading", "level", "parent", F.length("text").alias("chars"))
 
 
 @query()
@@ -127,22 +128,21 @@ def markdown_sections(t: Tables) -> DataFrame:
     return s.groupBy("key").agg(F.count("*").alias("sections"), F.sum((F.col("heading") != "").cast("long")).alias("headed"), F.sum(F.length(T.fold_space(F.col("text")))).cast("long").alias("chars"))
 
 
-@query("SELECT conv_id, turn, round((length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) / greatest(length(text), 1), 9) AS digits, CAST(turn AS DOUBLE) / max(turn) OVER (PARTITION BY conv_id) AS place FROM conversations")
+@query(f"""WITH c AS (SELECT conv_id, turn, text, length(regexp_replace(text, '\\s', '', 'g')) AS solid, length(regexp_replace(text, '\\P{{L}}', '', 'g')) AS letters, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS words FROM conversations)
+    SELECT conv_id, turn, round(coalesce(length(regexp_replace(text, '[^0-9]', '', 'g')) / nullif(solid, 0), 0), 9) AS digits, round(coalesce(length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) / nullif(letters, 0), 0), 9) AS capitals,
+           round(coalesce(len(list_filter(words, lambda w: list_contains([{", ".join(f"'{w}'" for w in classify.STOP_WORDS)}], w))) / nullif(len(words), 0), 0), 9) AS stop_words,
+           regexp_matches(text, '[.!?…][''")\\]]*\\s*$') AS ends_sentence, CAST(turn AS DOUBLE) / max(turn) OVER (PARTITION BY conv_id) AS place FROM c""")
 def text_shapes(t: Tables) -> DataFrame:
     """2.11.2."""
     from pyspark.sql import Window
 
-    from pagewright.operators.classify import text_shape
-
-    c = t.conversations
-    return c.select("conv_id", "turn", F.round(text_shape(F.col("text"))["digits"], 9).alias("digits"), (F.col("turn") / F.max("turn").over(Window.partitionBy("conv_id"))).alias("place"))
+    shape = classify.text_shape(F.col("text"))
+    return t.conversations.select("conv_id", "turn", *(F.round(shape[c], 9).alias(c) for c in ("digits", "capitals", "stop_words")), shape["ends_sentence"].alias("ends_sentence"), (F.col("turn") / F.max("turn").over(Window.partitionBy("conv_id"))).alias("place"))
 
 
 @query()
 def page_feature_table(t: Tables) -> DataFrame:
     """2.11.1, 2.11.6."""
-    from pagewright.operators import classify
-
     parsed = t.parsed
     return classify.page_features(parsed, parse.blocks_of(parsed))
 

@@ -15,9 +15,10 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows_of(mine) == rows_of(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"restated_blocks"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_gives_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SMALL).count() > 0
+    """What they give is derived anew in test_brute.py; no page of the table restates itself."""
+    assert catalog.QUERIES[name](spark, SMALL).count() > 0 or name == "restated_blocks"
 
 
 def test_sql_needs_no_session():
