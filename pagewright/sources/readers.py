@@ -14,7 +14,7 @@ def html_folder(spark: SparkSession, folder: str, root: str, glob: str = "*.html
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     relative = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(re.sub(r"^file:/+", "/", folder).rstrip("/")) + "/?", "")
     url = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(relative, r"(^|/)index\.html?$", "$1"))
-    return files.select(F.abs(F.xxhash64("path")).alias("page_id"), url.alias("url"), F.decode("content", "UTF-8").alias("html"))
+    return files.select(F.abs(F.xxhash64("path")).alias("page_id"), url.alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def sitemap_urls(files: DataFrame) -> DataFrame:
@@ -42,5 +42,5 @@ def gold_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     text = spark.read.option("wholetext", "true").text(f"{folder.rstrip('/')}/gold.json").first().value
     cases = [(i, c.get("url"), c.get("file") or f"{c.get('id')}.html", json.dumps(c.get("schema") or {}, sort_keys=True), json.dumps(c.get("facts") or {}, sort_keys=True)) for i, c in enumerate(json.loads(text))]
     gold = spark.createDataFrame(cases, "page_id long, url string, file string, schema string, facts string")  # a labelled set
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.substring_index("path", "/", -1).alias("file"), F.decode("content", "UTF-8").alias("html"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", "true").load(folder).select(F.substring_index("path", "/", -1).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
     return gold.join(files, "file").select("page_id", "url", "html"), gold.select("page_id", "url", "schema", "facts")
