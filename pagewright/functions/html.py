@@ -682,6 +682,18 @@ def loads(raw: str):
     return None
 
 
+def js_string(literal: str) -> str | None:
+    """The value of a JavaScript string literal, whatever its quotes, with the escapes that JSON lacks."""
+    body = literal[1:-1]
+    body = re.sub(r"\\x([0-9a-fA-F]{2})", r"\\u00\1", body)
+    body = re.sub(r"\\u\{([0-9a-fA-F]{1,6})\}", lambda m: json.dumps(chr(int(m[1], 16)))[1:-1] if int(m[1], 16) < 0x110000 else "", body)
+    body = body.replace("\\'", "'").replace("\\`", "`").replace("\\0", "\\u0000").replace("\\v", "\\u000b").replace("\\\n", "")
+    if literal[:1] != '"':
+        body = re.sub(r'(?<!\\)"', r'\\"', body)
+    found = loads('"' + body.replace("\n", "\\n").replace("\t", "\\t") + '"')
+    return found if isinstance(found, str) else None
+
+
 def balanced(text: str, start: int) -> str | None:
     """The JSON object or array that begins at a place, by brackets outside strings."""
     depth, quoted, i = 0, False, start
@@ -755,7 +767,7 @@ def payloads(root: Node, html: str, meta: dict[str, str] | None = None) -> list[
     for n in scripts:
         if n.attrs.get("id") == "__NEXT_DATA__" and (data := loads(raw(n))) is not None:
             out.append(("next-data", data))
-    chunks = [loads(m) for m in re.findall(r'self\.__next_f\.push\(\[1,("(?:[^"\\]|\\.)*")\]\)', html)]
+    chunks = [js_string(m) for m in re.findall(r'self\.__next_f\.push\(\[1,("(?:[^"\\]|\\.)*")\]\)', html)]
     for line in "".join(c for c in chunks if isinstance(c, str)).split("\n"):
         if (data := loads(line.partition(":")[2])) is not None and isinstance(data, dict | list):
             out.append(("rsc-flight", data))

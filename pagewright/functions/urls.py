@@ -150,3 +150,13 @@ def robots_pattern(pattern: Column) -> Column:
     quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^|])", r"\\$1")
     starred = F.replace(quoted, F.lit("*"), F.lit(".*"))
     return F.concat(F.lit("^"), F.regexp_replace(starred, r"\$(?!$)", r"\\\$"))
+
+
+def page_url(root: Column, relative: Column) -> Column:
+    """The address of a file below a root; index files are their folder."""
+    return F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), F.regexp_replace(F.regexp_replace(relative, "^/+", ""), r"(^|/)index\.html?$", "$1"))
+
+
+def ancestor_path(xpath: Column, tag: str) -> Column:
+    """The XPath up to the innermost element of a tag; null if there is none."""
+    return F.nullif(F.regexp_extract(xpath, rf"^(.*/{tag}\[\d+\])(?:/|$)", 1), F.lit(""))

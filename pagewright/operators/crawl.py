@@ -56,3 +56,50 @@ def sample_sections(links: DataFrame, count: int) -> DataFrame:
     l = l.withColumn("_s", F.row_number().over(Window.partitionBy("page_id", "section").orderBy("asks", "pos")))
     l = l.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("_s") > 1, "asks", "pos")))
     return l.where(F.col("_n") <= count).select("page_id", "href", "section")
+
+
+def resolved_roots(roots: DataFrame, redirects: DataFrame, most: int = 5) -> DataFrame:
+    """(root, final): where each root's redirects (url, location) end, at most `most` of them; a root without one is its own."""
+    step = redirects.groupBy("url").agg(F.min("location").alias("location"))
+    out = roots.select("root", F.col("root").alias("final")).distinct()
+    for _ in range(most):
+        out = staged(out.join(step, F.col("final") == F.col("url"), "left").select("root", F.coalesce("location", "final").alias("final")), "roots")
+    return out
+
+
+def inventory(sitemap: DataFrame, crawled: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """(key, url, via, status, live): the pages of a site, advertised by sitemaps (url) or found by links (url), one row a
+    key; via says by which or both. live is null where nobody asked (statuses: url, status)."""
+    both = sitemap.select("url", F.lit("sitemap").alias("via")).unionByName(crawled.select("url", F.lit("link").alias("via")))
+    k = both.withColumn("key", U.canonical_key(F.col("url"))).where(U.normalize_url(F.col("url")).isNotNull() & (U.url_kind(F.col("url")) != "other_file"))
+    one = k.groupBy("key").agg(F.min("url").alias("url"), F.array_join(F.sort_array(F.collect_set("via")), "+").alias("via"))
+    if statuses is None:
+        return one.select("key", "url", "via", F.lit(None).cast("int").alias("status"), F.lit(None).cast("boolean").alias("live"))
+    s = statuses.groupBy(U.canonical_key(F.col("url")).alias("key")).agg(F.min("status").alias("status"))
+    return one.join(s, "key", "left").select("key", "url", "via", "status", (F.col("status") < 400).alias("live"))
+
+
+def inventory_summary(found: DataFrame) -> DataFrame:
+    """One row: pages, checked, live and dead ones, the live share of those checked (null if none), and whether all were."""
+    n = F.count_if(F.col("live").isNotNull())
+    return found.agg(F.count("*").alias("pages"), n.alias("checked"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("dead"), (F.count_if("live") / F.nullif(n, F.lit(0))).alias("liveness"), (n == F.count("*")).alias("fully_verified"))
+
+
+def paced(requests: DataFrame, interval: float, now: float) -> DataFrame:
+    """requests (url, at) with `wait`: seconds until each may start, so that a host has one in an interval."""
+    return throttle(requests, interval).withColumn("wait", F.greatest(F.lit(0.0), F.col("starts_at") - now))
+
+
+def crawl_record(pages: DataFrame) -> DataFrame:
+    """What the end of a crawl needs of each page: no markup, no blocks."""
+    return pages.select(*(c for c in ("page_id", "key", "url", "via", "depth", "status", "error", "title", "page_type", "content_hash", "markdown") if c in pages.columns))
+
+
+def crawl_report(pages: DataFrame, refusals: DataFrame | None = None) -> DataFrame:
+    """(line): counts of a crawl in words: pages, failures by kind, depths; and addresses refused by reason."""
+    read = pages.agg(F.concat(F.count("*").cast("string"), F.lit(" pages, "), F.count_if(F.col("error").isNotNull()).cast("string"), F.lit(" failed")).alias("line")).withColumn("_o", F.lit(0))
+    deep = pages.groupBy("depth").agg(F.count("*").alias("n")).select(F.concat(F.lit("depth "), F.col("depth").cast("string"), F.lit(": "), F.col("n").cast("string")).alias("line"), (F.col("depth") + 1).alias("_o"))
+    out = read.unionByName(deep)
+    if refusals is not None:
+        out = out.unionByName(refusals.groupBy("refusal").agg(F.count("*").alias("n")).select(F.concat(F.lit("refused, "), "refusal", F.lit(": "), F.col("n").cast("string")).alias("line"), F.lit(1000).alias("_o")))
+    return out.orderBy("_o", "line").select("line")

@@ -63,3 +63,13 @@ def is_public(url: Column) -> Column:
 def walls(pages: DataFrame) -> DataFrame:
     """(page_id, wall) for (page_id, status, html, text, requested, url, words)."""
     return pages.select("page_id", wall(F.col("status"), F.col("html"), F.col("text"), F.col("requested"), F.col("url"), F.col("words")).alias("wall"))
+
+
+#: What servers say that admit automated clients only by name.
+DECLARE = r"(?i)undeclared automated|declare your (?:traffic|client|tool|automated)|user[- ]agent to include"
+
+
+def declaration_demanded(said: Column) -> Column:
+    """The sentence in which a server asks an automated client to say who runs it; null in any other answer."""
+    sentence = F.when(said.rlike(DECLARE), F.trim(F.regexp_extract(said, r"(?i)([^.!?]*(?:" + DECLARE.removeprefix("(?i)") + r")[^.!?]*[.!?]?)", 1)))
+    return F.substring(sentence, 1, 200)

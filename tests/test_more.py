@@ -152,3 +152,28 @@ def test_noise(spark):
     assert [r.t for r in df.select("t", "want", T.is_noise(F.col("t")).alias("got")).where("got <> want").collect()] == []
     counts = spark.createDataFrame([("漢字かな 한국 word",), ("ไทย x",), ("豈 a b",)], "t string").select(T.word_count(F.col("t"))).collect()
     assert [r[0] for r in counts] == [7, 4, 3]
+
+
+def test_inventory(spark):
+    from pagewright.functions import html as H
+    from pagewright.functions import urls as U
+    from pagewright.operators import crawl
+
+    url = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    found = crawl.inventory(url("https://e.com/a", "https://e.com/b/"), url("https://www.e.com/a/", "https://e.com/c", "mailto:x"), spark.createDataFrame([("https://e.com/a", 200), ("https://e.com/c", 404)], "url string, status int")).cache()
+    assert {r.key: (r.via, r.live) for r in found.collect()} == {"https://e.com/a": ("link+sitemap", True), "https://e.com/b": ("sitemap", None), "https://e.com/c": ("link", False)}
+    r = crawl.inventory_summary(found).first()
+    assert (r.pages, r.checked, r.live, r.dead, r.liveness, r.fully_verified) == (3, 2, 1, 1, 0.5, False)
+    assert crawl.inventory_summary(crawl.inventory(url("https://e.com/a"), url())).first().liveness is None
+    roots = crawl.resolved_roots(spark.createDataFrame([("http://a",), ("http://z",)], "root string"), spark.createDataFrame([("http://a", "https://a"), ("https://a", "https://www.a/")], "url string, location string"))
+    assert {r.root: r.final for r in roots.collect()} == {"http://a": "https://www.a/", "http://z": "http://z"}
+    waits = crawl.paced(spark.createDataFrame([("http://e.com/1", 0.0), ("http://e.com/2", 0.0)], "url string, at double"), 2.0, 1.0)
+    assert sorted(r.wait for r in waits.collect()) == [0.0, 1.0]
+    pages = spark.createDataFrame([(1, 0, None, "x"), (2, 1, "HTTP 500", None)], "page_id long, depth int, error string, html string")
+    assert [r.line for r in crawl.crawl_report(pages, spark.createDataFrame([("off-site",)], "refusal string")).collect()] == ["2 pages, 1 failed", "depth 0: 1", "depth 1: 1", "refused, off-site: 1"] and crawl.crawl_record(pages).columns == ["page_id", "depth", "error"]
+    x = spark.createDataFrame([("/html[1]/main[1]/div[2]/p[1]",), ("/html[1]/p[1]",)], "x string")
+    assert [r[0] for r in x.select(U.ancestor_path(F.col("x"), "div")).collect()] == ["/html[1]/main[1]/div[2]", None]
+    assert spark.range(1).select(U.page_url(F.lit("https://e.com/"), F.lit("/d/index.html"))).first()[0] == "https://e.com/d/"
+    said = spark.createDataFrame([("Blocked. Please declare your traffic by updating it. Bye.",), ("Access denied.",)], "s string")
+    assert [r[0] for r in said.select(walls.declaration_demanded(F.col("s"))).collect()] == ["Please declare your traffic by updating it.", None]
+    assert [H.js_string(s) for s in (r'"a\x41\u{1F600}\n"', r"'it\'s \"q\"'", '"')] == ["aA😀\n", 'it\'s "q"', ""]
