@@ -59,12 +59,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet and read again; what a finished stage staged is deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents, each written as Parquet and read again; what a finished stage staged is deleted, and so
+    is the table it read once its own is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         with runtime.scratch(spark):
             result = stage(spark, docs, sf_dir)
             path = runtime.new_path(spark, f"corpus-{name}", keep=True)
             result.write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            runtime.delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
