@@ -11,6 +11,7 @@ from pagewright.functions import urls as U
 from pagewright.operators import classify, parse, site
 from pagewright.plans.pages import SQL_URL
 from pagewright.sources import sinks
+from pagewright.storage import staged
 
 TERMS = "the and est"
 SQL_BM25 = """tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[A-Za-z0-9][A-Za-z0-9''_-]*') AS w FROM documents),
@@ -35,7 +36,7 @@ def bm25_top(t: Tables) -> DataFrame:
     SELECT page, id, round(score * (1 + 0.5 * total / (SELECT max(total) FROM s)), 4) AS score FROM p JOIN s USING (page)""")
 def page_evidence_scores(t: Tables) -> DataFrame:
     """2.17.5."""
-    ranked = bm25_scores(t).join(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("page")), "id")
+    ranked = staged(bm25_scores(t).join(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("page")), "id"), "ranked")
     return site.page_evidence(ranked, 0.5).select("page", "id", F.round("score", 4).alias("score"))
 
 

@@ -17,6 +17,13 @@ def html_folder(spark: SparkSession, folder: str, root: str, glob: str = "*.html
     return files.select(F.abs(F.xxhash64("path")).alias("page_id"), url.alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
+def table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
+    """A table of any format that Spark knows (parquet, orc, json, csv with a header, text, jdbc); rows of text that do not fit
+    the schema come with nulls."""
+    reader = spark.read.format(kind).options(**({"header": "true", "mode": "PERMISSIVE"} if kind == "csv" else {}) | options)
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
 def sitemap_urls(files: DataFrame) -> DataFrame:
     """(origin, loc, lastmod, is_index) from sitemap texts (origin, body)."""
     entries = files.select("origin", F.col("body").rlike("<sitemapindex").alias("is_index"), F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))).alias("e"))

@@ -19,6 +19,11 @@ def write_graph(tables: dict[str, DataFrame], path: str) -> None:
     graph_lines(tables).select("value").write.mode("overwrite").text(path)
 
 
+def write_table(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = (), mode: str = "errorifexists", **options: str) -> None:
+    """A table in any format that Spark writes, in folders by the given columns."""
+    df.write.format(kind).mode(mode).options(**({"header": "true"} if kind == "csv" else {}) | options).partitionBy(*by).save(path)
+
+
 def quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 

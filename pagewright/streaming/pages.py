@@ -16,9 +16,19 @@ def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
     return spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def new_pages(pages: DataFrame) -> DataFrame:
-    """Each page key once over the whole stream."""
-    return pages.withColumn("key", U.canonical_key(F.col("url"))).dropDuplicates(["key"])
+def new_pages(pages: DataFrame, seen_at: str | None = None, within: str = "7 days") -> DataFrame:
+    """Each page key once over the whole stream, whose state grows with the keys; or, by a time column, once within a span,
+    whose state ends with it."""
+    keyed = pages.withColumn("key", U.canonical_key(F.col("url")))
+    return keyed.withWatermark(seen_at, within).dropDuplicatesWithinWatermark(["key"]) if seen_at else keyed.dropDuplicates(["key"])
+
+
+def matched(asked: DataFrame, answered: DataFrame, by: str = "url", late: str = "10 minutes", most: str = "1 hour") -> DataFrame:
+    """(by, asked_at, answered_at, ...) of two streams: each question with the answers that follow it in time; both sides'
+    state ends with the span."""
+    a, b = asked.withWatermark("asked_at", late), answered.withWatermark("answered_at", late).withColumnRenamed(by, "_by")
+    near = (F.col(by) == F.col("_by")) & (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + F.expr(f"interval {most}"))
+    return a.join(b, near, "left_outer").drop("_by")
 
 
 def identical_content(pages: DataFrame, least: int = 3) -> DataFrame:
