@@ -15,13 +15,20 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.runtime import drop_staged, filesystem, new_path, slices, staged
+from pagewright.llm.runtime import filesystem, new_path, slices, staged
 from pagewright.llm.tokens import encoder
 
+#: Text bytes of a shard, about.
+SHARD_BYTES = 64_000_000
+
+
+def dtype_of(enc, end_id: int) -> str:
+    return "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 class TokenShard:
     """A shard's documents by index; files of a local or mounted store are memory-mapped, others read once."""
 
@@ -51,47 +58,57 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     """
     spark = df.sparkSession
     folder = folder or new_path(spark, "token-files")
+    kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Ranges of ids from a scan of sizes and ids: texts are encoded where they are, and ids move once.
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    cuts = kept.approxQuantile("doc_id", [i / shards for i in range(1, shards)], min(0.01, 0.25 / shards)) if shards > 1 else []
+    cuts = np.array([int(c) for c in cuts], np.int64)
 
     def encode(batches):
-        enc = encoder(path)
-        dtype = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
+        enc, at = encoder(path), 0
+        dtype = dtype_of(enc, end_id)
         for batch in batches:
-            for a, b in slices(batch.column(2).to_pylist()):
+            for a, b in slices(batch.column(1).to_pylist()):
                 part = batch.slice(a, b - a)
-                ids = [np.append(enc.encode(t.as_py()), np.uint32(end_id)).astype(dtype).tobytes() for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(ids, pa.binary()), pa.array([dtype] * len(ids))], ["doc_id", "key", "ids", "dtype"])
+                doc = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+                low, high = np.searchsorted(cuts, doc, "left"), np.searchsorted(cuts, doc, "right")
+                shard = low + (at + np.arange(len(doc))) % (high - low + 1)  # an id that fills several ranges is dealt to all of them
+                at += len(doc)
+                ids = [np.append(enc.encode(t.as_py()), np.uint32(end_id)).astype(dtype).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches):
+        dtype = dtype_of(encoder(path), end_id)
         fs, at = filesystem(folder)
-        name, out, dtype = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, None
-        offsets, docs, nulls, total = [0], [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                dtype = batch.column(1)[0].as_py()
-                fs.create_dir(at, recursive=True)
-                out = fs.open_output_stream(f"{at}/{name}.bin")
-            for d, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                ids = ids.as_py()
-                out.write(ids)
-                total += len(ids) // int(dtype[-1])
-                offsets.append(total)
-                docs.append(d or 0)
-                nulls.append(d is None)
-        if out is not None:
+        held = None  # shard, file name, open stream, offsets, ids, nulls
+
+        def close():
+            shard, name, out, offsets, docs, nulls = held
             out.close()
             for end, values, kind in ((".off", offsets, "<i8"), (".doc", docs, "<i8"), (".nul", nulls, "|b1")):
                 with fs.open_output_stream(f"{at}/{name}{end}") as f:
                     f.write(np.array(values, kind).tobytes())
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "dtype": [dtype], "docs": [len(docs)], "tokens": [total]})
-
-    kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    encoded = staged(kept.mapInArrow(encode, "doc_id long, key long, ids binary, dtype string").withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    by = ("doc_id", "key", "row")  # rows of one id, and copies of one row, may be parted
-    ranged = encoded.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "dtype", "ids")
-    shards = staged(ranged.mapInArrow(write, "shard int, path string, dtype string, docs long, tokens long"), "token-manifest")
-    drop_staged(encoded)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "dtype": [dtype], "docs": [len(docs)], "tokens": [offsets[-1]]})
+
+        for batch in batches:
+            for shard, d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held is None or held[0] != shard:
+                    if held:
+                        yield close()
+                    fs.create_dir(at, recursive=True)
+                    name = f"{shard:06d}-{uuid.uuid4().hex}"
+                    held = (shard, name, fs.open_output_stream(f"{at}/{name}.bin"), [0], [], [])
+                ids = ids.as_py()
+                held[2].write(ids)
+                held[3].append(held[3][-1] + len(ids) // int(dtype[-1]))
+                held[4].append(d or 0)
+                held[5].append(d is None)
+        if held:
+            yield close()
+
+    encoded = kept.mapInArrow(encode, "shard int, doc_id long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    shards = staged(encoded.mapInArrow(write, "shard int, path string, dtype string, docs long, tokens long"), "token-manifest")
     rows = sorted(shards.collect(), key=lambda r: r.shard)  # a row per shard
     bases = accumulate([0, *(r.tokens for r in rows)])
     return spark.createDataFrame([(*r, b) for r, b in zip(rows, bases, strict=False)], "shard int, path string, dtype string, docs long, tokens long, base long")

@@ -108,7 +108,7 @@ def test_special_tokens_of_any_form(library, tmp_path):
     assert codec.special["[[end]]"] in codec.encode_many([text])[0]
 
 
-def test_token_files(spark, docs, library):
+def test_token_files(spark, docs, library, monkeypatch):
     manifest = tokenfiles.write_token_files(docs, PATH)
     rows = sorted(tokenfiles.read_token_files(manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 5, 5, 7, 9]
@@ -119,9 +119,12 @@ def test_token_files(spark, docs, library):
     shard = tokenfiles.TokenShard(first.path, first.dtype)
     assert shard[0].tolist() == [*ids_of(library, "no id"), 2] and shard.tokens.dtype == np.uint16
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(docs.limit(0), PATH)).count() == 0
-    least = spark.createDataFrame([(-(2**63), "a"), (None, "b")] + [(4, "same")] * 50, "doc_id long, text string")
-    back = tokenfiles.read_token_files(tokenfiles.write_token_files(least, PATH)).collect()
-    assert sorted(str(r.doc_id) for r in back) == sorted([str(-(2**63)), "None"] + ["4"] * 50)
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 40)
+    least = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (9, "end")] + [(4, "same")] * 50 + [(i, "x y") for i in range(10, 30)], "doc_id long, text string").repartition(3)
+    manifest = tokenfiles.write_token_files(least, PATH)
+    back = tokenfiles.read_token_files(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None, -(2**63)] + [4] * 50 + [9, *range(10, 30)] and manifest.count() >= 4
+    assert [r.start for r in back] == [0, *np.cumsum([r.n_tokens for r in back])[:-1]]
 
 
 @pytest.mark.parametrize("sampling", [((2, 2), (1, 1), (1, 1)), ((2, 1), (1, 1), (1, 1)), ((1, 1),)])
