@@ -138,7 +138,7 @@ def site_chrome_pages(t: Tables) -> DataFrame:
     return total.join(kept.groupBy("page_id").agg(F.count("*").alias("blocks_kept"), F.sum(F.length("text")).alias("content_chars")), "page_id")
 
 
-@query()
+@query("""SELECT page_id, CAST(0 AS INTEGER) AS seq, 'json-ld' AS source, '{"@type": "Article", "headline": "Page ' || page_id || '", "price": "1.299,00"}' AS data FROM pages""")
 def page_payloads(t: Tables) -> DataFrame:
     """2.13 over pages to which structured data is added, since the table's pages have none."""
     ld = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Article","headline":"Page '), F.col("page_id").cast("string"), F.lit('","price":"1.299,00"},]}</script></head>'))

@@ -68,9 +68,13 @@ def page_sections(t: Tables) -> DataFrame:
     return cut.select("page_id", "section", "piece", "heading", "level", "parent", F.length("text").alias("chars"))
 
 
-@query()
+@query(f"""WITH {SQL_EDGES}, w AS (SELECT source, target, CAST(count(*) AS DOUBLE) AS w FROM e WHERE source <> target GROUP BY ALL), m AS (SELECT source, sum(w) AS mass FROM w GROUP BY source),
+    s AS (SELECT source, target, w / mass AS share FROM w JOIN m USING (source)), seeds AS (SELECT DISTINCT source AS id, 1.0::DOUBLE AS score FROM w),
+    g1 AS (SELECT s.target AS id, sum(score * share * 0.45) AS score FROM seeds JOIN s ON s.source = id GROUP BY s.target), f1 AS (SELECT * FROM g1 ANTI JOIN seeds USING (id)),
+    g2 AS (SELECT s.target AS id, sum(score * share * 0.45 * 0.45) AS score FROM f1 JOIN s ON s.source = f1.id GROUP BY s.target)
+    SELECT id, round(sum(score), 6) AS score FROM (SELECT * FROM seeds UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY id""")
 def graph_expansion(t: Tables) -> DataFrame:
-    """2.17.6: two hops from the pages of one host."""
+    """2.17.6: two hops from every page that has links."""
     e = edges_of(t).select("source", "target", F.col("count").cast("double").alias("weight"))
     seeds = e.select(F.col("source").alias("id")).distinct().select("id", F.lit(1.0).alias("score"))
     return site.expand(seeds, e).select("id", F.round("score", 6).alias("score"))
@@ -168,8 +172,9 @@ def graph_cypher(t: Tables) -> DataFrame:
     return sinks.cypher_links(edges_of(t))
 
 
-@query()
+@query("""WITH n AS (SELECT 'http://e.example/' || event_id AS url, ts, event_type FROM events ORDER BY ts DESC, url LIMIT 100)
+    SELECT '# Changes' || chr(10) || chr(10) || string_agg('## Changed: [' || event_type || '](' || url || ')' || chr(10) || chr(10) || strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), chr(10) || chr(10) ORDER BY ts DESC, url) || chr(10) AS value FROM n""")
 def change_feed(t: Tables) -> DataFrame:
     """2.2.14-2.2.17: the newest changes as a feed, a top-k report."""
     c = t.events.select(F.concat(F.lit("http://e.example/"), F.col("event_id").cast("string")).alias("url"), F.lit("changed").alias("change"), F.col("ts").alias("at"), F.col("event_type").alias("title"))
-    return sinks.feed(c, "Changes", "http://e.example/")
+    return sinks.feed(c, "Changes", "http://e.example/", "markdown")

@@ -126,7 +126,7 @@ def test_subjects(spark):
 
 def test_product_grids(spark):
     rows = [(1, 0, "Shoe", "heading", 1, "/b[1]/h1[1]", None), (1, 1, "Fine shoe for $90", "paragraph", 0, "/b[1]/p[1]", None)] + [(1, 2 + i, f"Other {i} $5{i}", "paragraph", 0, f"/b[1]/ul[1]/li[{i}]/p[1]", "/x") for i in range(1, 5)]
-    b = spark.createDataFrame(rows, "page_id long, pos int, text string, kind string, level int, xpath string, href string")
+    b = spark.createDataFrame(rows, "page_id long, pos int, text string, kind string, level int, xpath string, href string").withColumns({"words": T.word_count(F.col("text")), "rows": F.lit(None).cast("array<array<string>>")})
     assert sorted(r.pos for r in assemble.prune_product(b).collect()) == [0, 1]
 
 
