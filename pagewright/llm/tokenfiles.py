@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.runtime import filesystem, new_path, slices, staged
@@ -29,6 +29,16 @@ def dtype_of(enc, end_id: int) -> str:
     return "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
 
 
+def dealt(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n shards by which a repartition into n parts puts each shard into a part of its own."""
+    number = F.col("id").cast("int")
+    found = spark.range(20 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("part")).agg(F.min(number).alias("number")).collect()  # a row a shard
+    out = np.arange(n, dtype=np.int32)
+    for r in found:
+        out[r.part] = r.number
+    return out
+
+
 class TokenShard:
     """A shard's documents by index; files of a local or mounted store are memory-mapped, others read once."""
 
@@ -64,6 +74,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
     shards = max(1, -(-size // SHARD_BYTES))
     cuts = kept.approxQuantile("doc_id", [i / shards for i in range(1, shards)], min(0.01, 0.25 / shards)) if shards > 1 else []
     cuts = np.array([int(c) for c in cuts], np.int64)
+    deal = dealt(spark, shards)
 
     def encode(batches):
         enc, at = encoder(path), 0
@@ -76,7 +87,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
                 shard = low + (at + np.arange(len(doc))) % (high - low + 1)  # an id that fills several ranges is dealt to all of them
                 at += len(doc)
                 ids = [np.append(enc.encode(t.as_py()), np.uint32(end_id)).astype(dtype).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(deal[shard]), pa.array(shard.astype(np.int32)), part.column(0), pa.array(ids, pa.binary())], ["deal", "shard", "doc_id", "ids"])
 
     def write(batches):
         dtype = dtype_of(encoder(path), end_id)
@@ -107,7 +118,7 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, id_col: str = "
         if held:
             yield close()
 
-    encoded = kept.mapInArrow(encode, "shard int, doc_id long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    encoded = kept.mapInArrow(encode, "deal int, shard int, doc_id long, ids binary").repartition(shards, "deal").sortWithinPartitions("shard", "doc_id").select("shard", "doc_id", "ids")
     shards = staged(encoded.mapInArrow(write, "shard int, path string, dtype string, docs long, tokens long"), "token-manifest")
     rows = sorted(shards.collect(), key=lambda r: r.shard)  # a row per shard
     bases = accumulate([0, *(r.tokens for r in rows)])

@@ -108,6 +108,12 @@ def test_special_tokens_of_any_form(library, tmp_path):
     assert codec.special["[[end]]"] in codec.encode_many([text])[0]
 
 
+def test_shards_are_dealt_one_to_a_part(spark):
+    deal = tokenfiles.dealt(spark, 37)
+    rows = spark.createDataFrame([(int(d), i) for i, d in enumerate(deal)], "deal int, shard int").repartition(37, "deal")
+    assert sorted(len(p) for p in rows.rdd.glom().collect()) == [1] * 37
+
+
 def test_token_files(spark, docs, library, monkeypatch):
     manifest = tokenfiles.write_token_files(docs, PATH)
     rows = sorted(tokenfiles.read_token_files(manifest).collect(), key=lambda r: r.start)
