@@ -73,3 +73,12 @@ def declaration_demanded(said: Column) -> Column:
     """The sentence in which a server asks an automated client to say who runs it; null in any other answer."""
     sentence = F.when(said.rlike(DECLARE), F.trim(F.regexp_extract(said, r"(?i)([^.!?]*(?:" + DECLARE.removeprefix("(?i)") + r")[^.!?]*[.!?]?)", 1)))
     return F.substring(sentence, 1, 200)
+
+
+def sanctioned(pages: DataFrame, hints: DataFrame) -> DataFrame:
+    """(page_id, hint): what a site itself offers to programs, by hints (domain, hint) for a host or any domain above it; the
+    longest domain decides."""
+    labels = F.split(U.host(F.col("url")), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    p = pages.select("page_id", above.alias("_d")).select("page_id", F.explode("_d").alias("domain"))
+    return p.join(hints, "domain").groupBy("page_id").agg(F.max_by("hint", F.length("domain")).alias("hint"))

@@ -177,3 +177,9 @@ def test_inventory(spark):
     said = spark.createDataFrame([("Blocked. Please declare your traffic by updating it. Bye.",), ("Access denied.",)], "s string")
     assert [r[0] for r in said.select(walls.declaration_demanded(F.col("s"))).collect()] == ["Please declare your traffic by updating it.", None]
     assert [H.js_string(s) for s in (r'"a\x41\u{1F600}\n"', r"'it\'s \"q\"'", '"')] == ["aA😀\n", 'it\'s "q"', ""]
+
+
+def test_sanctioned_sources(spark):
+    pages = spark.createDataFrame([(1, "https://en.wiki.org/x"), (2, "https://wiki.org/"), (3, "https://notwiki.org/")], "page_id long, url string")
+    hints = spark.createDataFrame([("wiki.org", "dumps"), ("en.wiki.org", "english dumps")], "domain string, hint string")
+    assert {r.page_id: r.hint for r in walls.sanctioned(pages, hints).collect()} == {1: "english dumps", 2: "dumps"}
