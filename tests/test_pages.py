@@ -207,3 +207,27 @@ def test_streams(spark, tmp_path):
     streams.on_each_batch(streams.page_stream(spark, str(tmp_path / "p")), lambda df, i: got.append(df.count()), str(tmp_path / "c2")).awaitTermination()
     assert sum(got) == 4
     assert streams.identical_content(spark.read.parquet(str(tmp_path / "p"))).first().urls == 3
+
+
+def test_restated_by_page(spark):
+    """Shingles stay in the task that holds their page (before: all of them were broadcast); random pages against all pairs."""
+    import random
+
+    from pagewright.functions import restate
+
+    rows = [(1, 0, " ".join(f"w{i}" for i in range(200)), "paragraph")]
+    plan = assemble.restated(spark.createDataFrame(rows, "page_id long, pos int, text string, kind string"))._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    r, found = random.Random(5), 0
+    for _ in range(400):
+        base = [f"w{r.randrange(99)}" for _ in range(r.randrange(20, 90))]
+        texts = [" ".join(base[a : a + r.randrange(50)]) for a in r.choices(range(len(base)), k=r.randrange(1, 9))] + [" ".join(base)]
+        runs = [{tuple(w[i : i + 6]) for i in range(len(w) - 5)} for w in map(str.split, texts)]
+        want = []
+        for i, s in enumerate(runs):
+            shared = [s & t for j, t in enumerate(runs) if j != i and s & t]
+            if len(texts[i].split()) >= 20 and shared and len(set().union(*shared)) >= 0.7 * len(s) and max(map(len, shared)) < 0.5 * len(s):
+                want.append(i)
+        assert restate.restated(list(enumerate(texts)), 20, 0.7, 0.5) == want
+        found += len(want)
+    assert found
