@@ -231,3 +231,20 @@ def test_restated_by_page(spark):
         assert restate.restated(list(enumerate(texts)), 20, 0.7, 0.5) == want
         found += len(want)
     assert found
+
+
+def test_headings_as_sql(spark, tmp_path):
+    """Other references than the three, pages without a heading or any markup: the rows of the SQL."""
+    import duckdb
+    from conftest import rows_of
+
+    from pagewright import catalog
+
+    catalog.load()
+    page = "<html><body><ul><li>x</li></ul>{}<p>some text</p></body></html>"
+    tops = ["<h1>token = &quot;0b96</h1>", "<h1>The&amp;&amp; the&amp</h1>", "<h1>a &lt;b&gt; &amp;lt; &nbsp;&#39; R&D &copy;</h1>", "", "<h1>plain</h1><h1>second</h1>"]
+    rows = [(i, "http://e.com/", page.format(h)) for i, h in enumerate(tops)] + [(7, "http://e.com/", ""), (8, "http://e.com/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows_of(catalog.QUERIES["page_headings"](spark, str(tmp_path)).toPandas()) == rows_of(c.sql(catalog.ORACLE_SQL["page_headings"]).df())
