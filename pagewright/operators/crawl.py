@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from pagewright.functions import urls as U
 from pagewright.storage import staged
 
+#: Addresses that one task gives their keys: about two seconds of patterns.
+KEYED = 20_000
+#: Rows of a key up to which a table may be broadcast.
+FEW = 200_000
+
+
+def beside(table: DataFrame) -> DataFrame:
+    """A staged table for the right side of a join: broadcast only if its rows, counted, are few; its file's size says little."""
+    return F.broadcast(table) if table.count() <= FEW else table.hint("merge")
+
 
 def frontier_step(found: DataFrame, seen: DataFrame, root: Column, depth: int, max_depth: int = 10, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """Newly found addresses of one breadth-first level: (key, url, kind, refusal, via), one row a key, first finder wins.
@@ -21,18 +31,24 @@ def frontier_step(found: DataFrame, seen: DataFrame, root: Column, depth: int, m
 
 
 def crawl(pages: DataFrame, links: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
-    """(key, depth) of pages reached from a root over links (url, href): one join a level, each level cut from the last.
+    """(key, depth) of pages reached from a root over links (url, href): a few joins a level, each level cut from the last.
 
-    pages gives the addresses that answer; a level's new keys are those of no level before.
+    pages gives the addresses that answer; a level's new keys are those of no level before. Each distinct address gets its
+    key once, not once a link. links are read at every level: what is dear to compute should be staged before.
     """
-    known = staged(pages.select(U.canonical_key(F.col("url")).alias("key")).distinct(), "crawl-pages")
-    edges = links.select(U.canonical_key(F.col("url")).alias("src"), U.canonical_key(F.col("href")).alias("dst")).distinct()
-    edges = staged(edges.join(known.select(F.col("key").alias("dst")), "dst", "left_semi"), "crawl-edges")
-    front = staged(known.where(F.col("key") == U.canonical_key(F.lit(root))).select("key", F.lit(0).alias("depth")), "crawl-level")
+    urls = pages.select("url", F.lit(True).alias("answers")).unionByName(links.select("url", F.lit(False).alias("answers"))).unionByName(links.select(F.col("href").alias("url"), F.lit(False).alias("answers")))
+    urls = staged(urls.groupBy("url").agg(F.bool_or("answers").alias("answers")), "crawl-urls")
+    spread = urls.repartition(urls.count() // KEYED + 1, "url")  # few bytes, much work: not to be coalesced by size
+    keys = staged(spread.select("url", "answers", U.canonical_key(F.col("url")).alias("key")), "crawl-keys")
+    known = staged(keys.where("answers").select("key").distinct(), "crawl-pages")
+    start = pages.sparkSession.range(1).select(U.canonical_key(F.lit(root))).head()[0]  # once, not once a page
+    front = staged(known.where(F.col("key") == start).select("key", F.lit(0).alias("depth")), "crawl-level")
     reached = front
     for depth in range(1, max_depth + 1):
-        found = edges.join(front.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key")).distinct()
-        front = staged(found.join(reached.select("key"), "key", "left_anti").select("key", F.lit(depth).alias("depth")), "crawl-level")
+        from_ = staged(keys.join(beside(front.select("key")), "key", "left_semi").select("url"), "crawl-from")
+        hrefs = staged(links.join(beside(from_), "url", "left_semi").select(F.col("href").alias("url")).distinct(), "crawl-hrefs")
+        found = keys.join(beside(hrefs), "url", "left_semi").select("key").distinct().join(beside(known), "key", "left_semi")
+        front = staged(found.join(beside(reached.select("key")), "key", "left_anti").select("key", F.lit(depth).alias("depth")), "crawl-level")
         reached = reached.unionByName(front)
         if not front.head(1):
             break

@@ -248,3 +248,15 @@ def test_headings_as_sql(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert rows_of(catalog.QUERIES["page_headings"](spark, str(tmp_path)).toPandas()) == rows_of(c.sql(catalog.ORACLE_SQL["page_headings"]).df())
+
+
+def test_crawl_broadcasts_nothing_large(spark, monkeypatch):
+    """Tables beyond FEW rows are joined by shuffling, and the root's key is computed once: the same levels either way."""
+    pages = spark.createDataFrame([(f"https://e.com/{x}",) for x in ("", "a", "b", "c", "d/")], "url string")
+    links = spark.createDataFrame([(f"https://e.com/{a}", f"https://e.com/{b}") for a, b in (("", "a/"), ("", "?ref=x"), ("a", "b"), ("b", "c"), ("c", "d"), ("b", "gone"))], "url string, href string")
+    level = lambda: {r.key.rsplit("/", 1)[-1]: r.depth for r in crawl.crawl(pages, links, "https://www.e.com").collect()}
+    want = {"": 0, "a": 1, "b": 2, "c": 3}
+    assert level() == want
+    monkeypatch.setattr(crawl, "FEW", 0)
+    monkeypatch.setattr(crawl, "KEYED", 2)
+    assert "Broadcast" not in crawl.crawl(pages, links, "https://www.e.com")._jdf.queryExecution().toString() and level() == want
